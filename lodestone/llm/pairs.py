@@ -102,6 +102,16 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
                 part = at[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "c"])
 
+    counts = sets.select("grams").mapInArrow(count, "at int, c long").groupBy("at").agg(F.sum("c").alias("c"))
+    return packed_sketch(counts, SKETCH_BITS)
+
+
+def packed_sketch(counts: DataFrame, bits: int) -> np.ndarray:
+    """Byte array of 2**bits counters from rows (at, c): 0 none, 1 exactly one, else 1 + eight times the logarithm.
+
+    The counters travel in packed chunks, so what reaches the driver is 2**bits bytes, whatever the corpus.
+    """
+
     def pack(batches):
         rows = {}
         for b in batches:
@@ -111,11 +121,10 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
                 rows.setdefault(int(chunk), np.zeros(1 << 14, np.uint8))[at[m] & ((1 << 14) - 1)] = code[m]
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], names=["chunk", "codes"])
 
-    code = F.when(F.col("c") == 1, 1).otherwise(F.least(F.lit(255), F.lit(1) + F.ceil(F.log2("c") * 8)))
-    counts = sets.select("grams").mapInArrow(count, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).select("at", code.cast("int").alias("code"))
-    out = np.zeros(size, np.uint8)
+    code = F.when(F.col("c") == 1, 1).otherwise(F.least(F.lit(255), F.lit(1) + F.ceil(F.log2("c") * 8))).cast("int")
+    out = np.zeros(1 << bits, np.uint8)
     # chunks are spread over tasks; one chunk may come in several parts, which are disjoint
-    for r in counts.repartition(16, F.shiftright("at", 14)).mapInArrow(pack, "chunk int, codes binary").toLocalIterator():
+    for r in counts.select("at", code.alias("code")).repartition(16, F.shiftright("at", 14)).mapInArrow(pack, "chunk int, codes binary").toLocalIterator():
         part = out[r["chunk"] << 14 : (r["chunk"] + 1) << 14]
         np.maximum(part, np.frombuffer(r["codes"], np.uint8), out=part)
     return out

@@ -10,6 +10,7 @@ from lodestone.llm.consensus import consensus_survivors, usable_abstract, usable
 from lodestone.llm.encode import encode_corpus
 from lodestone.llm.leaks import leaked_items, reparameterised_items
 from lodestone.llm.pairs import expand_pairs, similar_classes
+from lodestone.llm.scans import repair_scans
 from lodestone.llm.split import split_oversized
 from lodestone.llm.visual import add_visual_form, look_alike_pairs
 from lodestone.session import small, table
@@ -87,6 +88,19 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("g").pivot("field", list(_FIELDS)).agg(F.max("value")).withColumnRenamed("g", "group_id")
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_scans(table(spark, sf_dir, "pages_text", "page_id", "filename", "page_num", "text"), "page_id", "filename", "page_num", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select("page_id", F.explode("repairs").alias("r")).select("page_id", "r.kind", "r.item").distinct()
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return _repaired(spark, sf_dir).select("page_id", "text")
+
+
 def _long_texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
     return [("chunks", table(spark, sf_dir, "chunks", "chunk_id", "content"), "chunk_id", "content"), ("pages_text", table(spark, sf_dir, "pages_text", "page_id", "text"), "page_id", "text")]
 
@@ -126,5 +140,5 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_visual_form(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.col("form").alias("class_id"), "visible")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_classes, p5_found, p5_records, p7_found, p7_cohesion, p8_ids, p9_found, p9_reparameterised, p10_found, p10_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_classes, p5_found, p5_records, p6_found, p6_repaired, p7_found, p7_cohesion, p8_ids, p9_found, p9_reparameterised, p10_found, p10_classes)}
 ORACLE: dict[str, str] = {}
