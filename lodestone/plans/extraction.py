@@ -42,7 +42,7 @@ def s2(spark, d):
 
 @add("s3_page_range_scan", "select page_id, page_num from pages_text where page_num in (select unnest(generate_series(1, 7, 2)))")
 def s3(spark, d):
-    wanted = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(7), F.lit(2))).cast("int").alias("page_num"))
+    wanted = spark.range(1, 8, 2).select(F.col("id").cast("int").alias("page_num"))
     return table(spark, d, "pages_text", "page_id", "page_num").join(F.broadcast(wanted), "page_num", "left_semi").select("page_id", "page_num")
 
 
@@ -140,7 +140,11 @@ def p6(spark, d):
 def p7(spark, d):
     pages = table(spark, d, "pages_text", "page_id", "text")
     bank = {"power": r"([0-9]+(?:\.[0-9]+)?) W\b", "strength": r"([0-9]+(?:\.[0-9]+)?) MPa\b"}
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), lambda v, q=q: F.struct(F.lit(q).alias("q"), v.try_cast("double").alias("value"))) for q, p in bank.items()]))
+
+    def tagged(q: str, p: str):
+        return F.transform(F.regexp_extract_all("text", F.lit(p), 1), lambda v: F.struct(F.lit(q).alias("q"), v.try_cast("double").alias("value")))
+
+    found = F.flatten(F.array(*[tagged(q, p) for q, p in bank.items()]))
     return pages.where("text is not null").select("page_id", F.explode(found).alias("x")).select("page_id", "x.q", "x.value")
 
 
@@ -318,10 +322,10 @@ def p40(spark, d):
     return c.select("chunk_id", F.posexplode(tx.chunk_array(F.col("content"), 400, 50)).alias("chunk_no", "piece")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@add("p41_chunk_metadata", f"select distinct chunk_id, concat_ws(',', {', '.join(f"case when {_contained('content', w)} > 0 then '{n}' end" for n, w in vo.TOPICS.items())}) as topics, nullif(regexp_extract(content, '([0-9]+(?:\\.[0-9]+)?) W\\b', 1), '') as power, contains(content, '=') as has_equations from chunks")
+@add("p41_chunk_metadata", f"select distinct chunk_id, concat_ws(',', {', '.join(f"case when {_contained('content', w)} > 0 then '{n}' end" for n, w in vo.TOPICS.items())}) as topics, nullif(regexp_extract(content, '([0-9]+(?:\\.[0-9]+)?) W\\b', 1), '') as power, coalesce(contains(content, '='), false) as has_equations from chunks")
 def p41(spark, d):
     c = F.col("content")
-    return table(spark, d, "chunks", "chunk_id", "content").select("chunk_id", tx.flags(c, vo.TOPICS).alias("topics"), tx.first_match(c, r"([0-9]+(?:\.[0-9]+)?) W\b", 1).alias("power"), c.contains("=").alias("has_equations")).distinct()
+    return table(spark, d, "chunks", "chunk_id", "content").select("chunk_id", tx.flags(c, vo.TOPICS).alias("topics"), tx.first_match(c, r"([0-9]+(?:\.[0-9]+)?) W\b", 1).alias("power"), F.coalesce(c.contains("="), F.lit(False)).alias("has_equations")).distinct()
 
 
 @add("p43_citations", "select paper_id, case when doi_guess like '10.%/%' then 'doi:' || lower(doi_guess) else '[' || filename || ']' end as citation from papers")
