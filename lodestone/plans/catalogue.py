@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ["extraction", "aggregates", "dealt"]
+_MODULES = ["extraction", "aggregates", "relations", "dealt"]
 
 
 def _catalogues() -> list:
