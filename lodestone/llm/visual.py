@@ -89,24 +89,27 @@ def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if (~first[1:] & (cls[1:] < cls[:-1])).any():
         order = np.lexsort((np.arange(len(cp)), cls, np.cumsum(first)))
         cp, row, cls, first = cp[order], row[order], cls[order], first[order]
+    failed = np.zeros(len(cp), bool)
     while True:
-        # each round merges the first open mark of every base; later marks of a lower round follow in the next one
-        mark = np.flatnonzero(~first)
-        lead = np.ones(len(mark), bool)
-        lead[1:] = mark[1:] != mark[:-1] + 1
-        mark = mark[lead]
+        # each round tries the first open mark of every base; marks without a composition stay and may block later ones
+        mark = np.flatnonzero(~first & ~failed)
         if not len(mark):
             return cp, row
-        key = cp[mark - 1].astype(np.int64) << 21 | cp[mark].astype(np.int64)
+        base = np.maximum.accumulate(np.where(first, np.arange(len(cp)), 0))[mark]
+        lead = np.ones(len(mark), bool)
+        lead[1:] = base[1:] != base[:-1]
+        mark, base = mark[lead], base[lead]
+        blocked = failed[mark - 1] & (cls[mark - 1] >= cls[mark])
+        key = cp[base].astype(np.int64) << 21 | cp[mark].astype(np.int64)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        if not hit.any():
-            return cp, row
-        cp = cp.copy()
-        cp[mark[hit] - 1] = values[at[hit]]
-        keep = np.ones(len(cp), bool)
-        keep[mark[hit]] = False
-        cp, row, first = cp[keep], row[keep], first[keep]
+        hit = (keys[at] == key) & ~blocked
+        failed[mark[~hit]] = True
+        if hit.any():
+            cp = cp.copy()
+            cp[base[hit]] = values[at[hit]]
+            keep = np.ones(len(cp), bool)
+            keep[mark[hit]] = False
+            cp, row, first, cls, failed = cp[keep], row[keep], first[keep], cls[keep], failed[keep]
 
 
 def visual_form(texts: pa.Array) -> pa.Array:
