@@ -118,9 +118,9 @@ def chunk_array(c: Column, size: int, overlap: int) -> Column:
 
 
 def extractive_summary(c: Column, words: list[str], top: int = 3, limit: int = 220) -> Column:
-    """The sentences with most keyword hits, joined and cut."""
+    """The sentences with most keyword hits (ties: the later in sort order), joined and cut."""
     s = F.filter(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: (F.length(x) > 15) & (F.length(x) < 250))
-    scored = F.array_sort(F.transform(s, lambda x: F.struct((-contained(x, words)).alias("k"), x.alias("s"))))
+    scored = F.sort_array(F.transform(s, lambda x: F.struct(contained(x, words).alias("k"), x.alias("s"))), asc=False)
     return F.substring(F.concat_ws(" ", F.transform(F.slice(scored, 1, top), lambda x: x["s"])), 1, limit)
 
 
