@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import running_sum, shifted
+
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the texts that hold any of the terms. One scan counts the corpus, one scores it; no shuffle of text."""
@@ -31,11 +33,13 @@ def retrieval_metrics(runs: DataFrame, k: int) -> DataFrame:
     return q.agg(F.round(F.avg("p"), 9).alias(f"precision_{k}"), F.round(F.avg("rr"), 9).alias("mrr"), F.round(F.avg("dcg"), 9).alias("dcg"))
 
 
-def gap_clusters(df: DataFrame, key: str, value: str, eps: float) -> DataFrame:
+def gap_clusters(df: DataFrame, key: str, value: str, eps: float, order: str | None = None) -> DataFrame:
     """Density clusters of one dimension: sorted values whose gaps are at most ``eps`` belong together.
 
-    Keys partition the windows, so use a key of many values for large data.
+    ``order`` names a unique column that breaks ties; without it equal values must be unique per key. Null values are
+    left out. Works by range blocks, so that a hot key is not sorted in one task.
     """
-    w = Window.partitionBy(key).orderBy(value)
-    gap = F.col(value) - F.lag(value).over(w)
-    return df.where(F.col(value).isNotNull()).withColumn("__new", F.when(gap <= eps, 0).otherwise(1)).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    total = [F.col(value), *([F.col(order)] if order else [])]
+    w = shifted(df.where(F.col(value).isNotNull()), [key], total, value, "__prev", by=-1)
+    w = w.withColumn("__new", F.when(F.col(value) - F.col("__prev") <= eps, 0).otherwise(1))
+    return running_sum(w, [key], total, "__new", "cluster").drop("__new", "__prev")

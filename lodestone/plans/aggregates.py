@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import facts as fo
-from lodestone.operators.ranking import ranked, top_per_key
+from lodestone.operators.ranking import ranked, shifted, top_per_key
 from lodestone.plans.registry import Catalogue
 from lodestone.session import small, table
 
@@ -347,10 +347,8 @@ def w7(spark, d):
 
 @add("w8_next_boundary", "select page_id, coalesce(lead(page_num) over (partition by filename order by page_num, page_id), 0) as next_page from pages_text")
 def w8(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("filename").orderBy("page_num", "page_id")
-    return table(spark, d, "pages_text", "page_id", "filename", "page_num").select("page_id", F.coalesce(F.lead("page_num").over(w), F.lit(0)).alias("next_page"))
+    p = shifted(table(spark, d, "pages_text", "page_id", "filename", "page_num"), ["filename"], [F.col("page_num"), F.col("page_id")], "page_num", "next_page")
+    return p.select("page_id", F.coalesce("next_page", F.lit(0)).alias("next_page"))
 
 
 @add("w9_discounted_position", "select item_id, round(1.0 / rn, 9) as rr, round(1.0 / log2(rn + 1), 9) as dcg from (select item_id, row_number() over (partition by doc_source order by confidence desc nulls last, item_id) as rn from (select distinct item_id, doc_source, confidence from facts))")

@@ -352,7 +352,7 @@ def m11(spark, d):
 def m12(spark, d):
     from lodestone.operators.search import gap_clusters
 
-    c = gap_clusters(table(spark, d, "customer", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal", 100.0)
+    c = gap_clusters(table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal", 100.0, "c_custkey")
     return c.groupBy("c_nationkey", "cluster").agg(F.count(F.lit(1)).alias("members")).where("members >= 2").select("c_nationkey", "members")
 
 

@@ -29,12 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a local one if unset (tests only)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """Folder all executors share: ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="lodestone-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf)
+    sc.setCheckpointDir(conf)
     return conf
 
 

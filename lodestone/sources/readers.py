@@ -55,5 +55,5 @@ def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 def field_grid(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of a CSV matrix: one long row per cell; the row is the line's number within its file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
     return lines.select("row", F.posexplode(F.split("line", ",")).alias("col", "value")).select("row", "col", F.col("value").try_cast("double").alias("value"))
