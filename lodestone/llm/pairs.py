@@ -180,21 +180,27 @@ def _postings(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
 
 def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: float, most: int = 1_500_000):
     """Candidate pairs within the runs [start, end) of rows of equal node, after the length and bitmap bounds."""
-    n, pos, ids = df["n"].to_numpy(), df["pos"].to_numpy(), df["id"].to_numpy()
+    n, pos, ids = df["n"].to_numpy().astype(np.int64), df["pos"].to_numpy().astype(np.int64), df["id"].to_numpy()
     bits = df[["b0", "b1", "b2", "b3"]].to_numpy().view(np.uint64)
     lo, hi = df["lo"].to_numpy(), df["hi"].to_numpy()
-    # row i meets the rows after it in its run
-    last = np.repeat(ends, ends - starts)
+    # rows of a run are sorted by set size; row i is the smaller set of its pairs, so only partners up to the largest
+    # size that its remaining length still allows are met
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, int)
-    many = last - rows - 1
+    run = np.repeat(np.arange(len(starts), dtype=np.int64), ends - starts)
+    share = t / (1 + t)
+    reach = np.minimum(np.floor((n[rows] - pos[rows]) / share - n[rows] + 1e-6), np.floor(n[rows] / t + 1e-6)).astype(np.int64)
+    width = int(n.max(initial=0)) + 2
+    last = np.searchsorted(run * width + n[rows], run * width + np.clip(reach, 0, width - 1), side="right")
+    many = np.maximum(last - np.arange(len(rows)) - 1, 0)
     edges = np.cumsum(many)
     begin = 0
     while begin < len(rows):
         base = edges[begin - 1] if begin else 0
         stop = max(begin + 1, int(np.searchsorted(edges, base + most, side="right")))
         k = many[begin:stop]
-        a = np.repeat(rows[begin:stop], k)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        a = np.repeat(np.arange(begin, stop), k)
+        b = rows[a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)]
+        a = rows[a]
         begin = stop
         na, nb = n[a], n[b]
         need = np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
@@ -233,7 +239,7 @@ def candidate_pairs(reps: DataFrame, t: float) -> DataFrame:
         if rest is not None:
             yield from _emit(rest, np.array([0]), np.array([len(rest)]), t)
 
-    nodes = postings.repartition(*keys).sortWithinPartitions(*keys)
+    nodes = postings.repartition(*keys).sortWithinPartitions(*keys, "n")
     return nodes.mapInPandas(join, "tbl string, a long, b long").distinct()
 
 
