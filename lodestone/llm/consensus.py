@@ -173,9 +173,23 @@ def consensus_survivors(values: DataFrame, dominant: bool = True) -> DataFrame:
     schema = f"g {gtype}, field string, block int, profile binary"
     # groups of one value need no alignment: the value is the consensus
     alone = d.where("n = 1").select("g", "field", "row")
-    several = d.where("n > 1")
+
+    def survivor(pdf: pd.DataFrame) -> pd.DataFrame:
+        goal = pickle.loads(align(pdf)["profile"].iloc[0]).consensus()
+        best = max(pdf[["value", "trust", "row"]].itertuples(index=False), key=lambda r: (-token_distance(r[0].split(), goal), r[1], r[2]))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "field": [pdf["field"].iloc[0]], "row": [best[2]]})
+
+    # alignment is heavy for its bytes, so the number of tasks is set here and not left to the size of the data
+    conf = d.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tasks = max(2 * d.sparkSession.sparkContext.defaultParallelism, int(conf))
+    one_block = d.where(f"n between 2 and {BLOCK}").repartition(tasks, "g", "field")
+    alone = alone.unionByName(one_block.groupBy("g", "field").applyInPandas(survivor, f"g {gtype}, field string, row {rtype}"))
+    most = d.agg(F.max("n")).first()[0] or 0
+    if most <= BLOCK:
+        return alone.select("g", "field", F.col("row").cast(rtype).alias("row"))
+    several = d.where(f"n > {BLOCK}").repartition(tasks, "g", "field", "block")
     profiles = several.groupBy("g", "field", "block").applyInPandas(align, schema)
-    blocks = several.agg(F.max(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    blocks = -(-most // BLOCK)
     while blocks > 1:
         profiles = cut(profiles.withColumn("parent", F.floor(F.col("block") / 16).cast("int")).groupBy("g", "field", "parent").applyInPandas(merge, schema))
         blocks = -(-blocks // 16)
