@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,23 @@ def build_session(app: str = "lodestone", cores: int | str = "*", shuffle_partit
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers once per application, so that no worker needs it on its path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._lodestone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
     """A parquet table of ``sf_dir``; naming the columns keeps the scan narrow."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
