@@ -386,4 +386,110 @@ def stream_sessions(spark, d):
     return ingest.session_counts(table(spark, d, "events", "ts", "user_id"), "ts", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
+@add("s5_markdown_pages", "select doc_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '^(#+|[-*]) '))) as marked from documents where text is not null")
+def s5(spark, d):
+    lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^(#+|[-*]) "))).alias("marked"))
+
+
+@add("s7_load_and_chunk", "select doc_id, i as chunk_no, substring(text, i * 450 + 1, 500) as piece from (select doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 450 + 1)) as i from documents where text is not null)")
+def s7(spark, d):
+    x = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return x.select("doc_id", F.posexplode(tx.chunk_array(F.col("text"), 500, 50)).alias("chunk_no", "piece")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@add("s11_key_value_lines", "select doc_id, k, v from (select doc_id, unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+) = ([0-9.]+)', 1)) as k, unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+) = ([0-9.]+)', 2)) as v from documents)")
+def s11(spark, d):
+    pat = r"([A-Z][A-Za-z]+) = ([0-9.]+)"
+    z = F.arrays_zip(F.regexp_extract_all("text", F.lit(pat), 1).alias("k"), F.regexp_extract_all("text", F.lit(pat), 2).alias("v"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(z).alias("z")).select("doc_id", "z.k", "z.v")
+
+
+@add("s12_field_cells", "select vec_id, i as col, embedding[i + 1]::double as value from (select vec_id, embedding, unnest(range(0, len(embedding))) as i from embeddings)")
+def s12(spark, d):
+    e = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("col", "value"))
+    return e.select("vec_id", F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"))
+
+
+@add("p67_concept_centroids", "select label, i as dim, round(avg(v), 9) as centre from (select label, unnest(range(0, len(embedding))) as i, unnest(embedding)::double as v from embeddings) group by 1, 2")
+def p67(spark, d):
+    e = table(spark, d, "embeddings", "label", "embedding").select("label", F.posexplode("embedding").alias("i", "v"))
+    return e.groupBy("label", F.col("i").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("centre"))
+
+
+@add("j5_extreme_documents", f"with m as (select q, doc, avg(value) as mean from {_F} where q is not null and value is not null and doc is not null group by 1, 2 having avg(value) > 0) select q, max(mean) / min(mean) > 2 as contradicting, count(*) as docs from m group by q having count(*) > 1")
+def j5(spark, d):
+    from lodestone.operators.facts import document_means
+
+    m = document_means(facts(spark, d).where("doc is not null"), "q", "doc", "value").where("mean > 0")
+    return m.groupBy("q").agg((F.max("mean") / F.min("mean") > 2).alias("contradicting"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+
+
+@add("g54_agreement_frames", "with t as (select material, count(*) as n, count(distinct method_origin) as agreement from (select distinct * from extracted_values) where material is not null group by 1 order by n desc, material limit 50) select material, k from t, range(1, 4) r(k) where agreement >= k")
+def g54(spark, d):
+    e = table(spark, d, "extracted_values").distinct().where("material is not null")
+    top = e.groupBy("material").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("method_origin").alias("agreement")).orderBy(F.desc("n"), "material").limit(50)
+    return top.where("agreement > 0").select("material", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(3).cast("long"), F.col("agreement")))).alias("k"))
+
+
+@add("r12_drill_down", "with t as (select filename from papers where contains(lower(title), 'laser') order by filename limit 5) select p.page_id from pages_text p join t on p.filename = t.filename where contains(lower(p.text), 'laser')")
+def r12(spark, d):
+    """Two steps of a bounded navigation: choose documents, then the pages of those that hold the term."""
+    t = table(spark, d, "papers", "filename", "title").where(F.lower("title").contains("laser")).orderBy("filename").limit(5).select("filename")
+    return table(spark, d, "pages_text", "page_id", "filename", "text").join(F.broadcast(t), "filename").where(F.lower("text").contains("laser")).select("page_id")
+
+
+@add("m2_semantic_graph", "select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35")
+def m2(spark, d):
+    from lodestone.operators.vectors import dot, unit
+
+    e = table(spark, d, "embeddings", "vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("src"), unit(F.col("embedding")).alias("u"))
+    rows = e.select(F.col("vec_id").alias("dst"), unit(F.col("embedding")).alias("v"))
+    return rows.join(small(q), F.col("src") != F.col("dst")).where(F.round(dot(F.col("u"), F.col("v")), 9) >= 0.35).select("src", "dst")
+
+
+@add("m4_negative_samples", "with n as (select distinct source_citation as v from alloy_properties where source_citation is not null), e as (select distinct source_citation as a, phase as b from alloy_properties where source_citation is not null and phase is not null), p as (select distinct phase as b from alloy_properties where phase is not null) select n.v as a, p.b from n, p where not exists (select 1 from e where e.a = n.v and e.b = p.b)")
+def m4(spark, d):
+    """Pairs of document and phase without an edge; the phases are a closed list."""
+    e = table(spark, d, "alloy_properties", F.col("source_citation").alias("a"), F.col("phase").alias("b")).where("a is not null")
+    phases = e.where("b is not null").select("b").distinct()
+    pairs = e.select("a").distinct().join(F.broadcast(phases))
+    return pairs.join(e.where("b is not null").distinct(), ["a", "b"], "left_anti")
+
+
+@add("m5_link_features")
+def m5(spark, d):
+    """Link prediction without a neural net: logistic regression on common neighbours and degrees of quantity pairs."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    e = _quantity_edges(spark, d)
+    near = e.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("near"))
+    pairs = k4(spark, d).join(near.select(F.col("node").alias("src"), F.col("near").alias("n1")), "src").join(near.select(F.col("node").alias("dst"), F.col("near").alias("n2")), "dst")
+    f = pairs.select("src", "dst", F.size(F.array_intersect("n1", "n2")).alias("common"), F.size("n1").alias("d1"), F.size("n2").alias("d2"), (F.col("weight") > 1).cast("double").alias("label"))
+    x = VectorAssembler(inputCols=["common", "d1", "d2"], outputCol="features").transform(f)
+    model = LogisticRegression(maxIter=10, regParam=0.1).fit(x)
+    return model.transform(x).select("src", "dst", F.round(vector_to_array("probability")[F.size(vector_to_array("probability")) - 1], 6).alias("p"))
+
+
+@add("m10_representatives", "select material_class, canonical_name from (select material_class, canonical_name, row_number() over (partition by material_class order by length(canonical_name), canonical_name) as rn from materials_ref) where rn = 1")
+def m10(spark, d):
+    m = table(spark, d, "materials_ref", "material_class", "canonical_name")
+    return top_per_key(m, ["material_class"], [F.length("canonical_name"), F.col("canonical_name")], 1)
+
+
+@add("m20_projection_variance")
+def m20(spark, d):
+    """Share of variance of each of four principal components of the standardised vectors."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, d, "embeddings", "embedding").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    z = StandardScaler(withMean=True, inputCol="v", outputCol="z").fit(e).transform(e)
+    got = PCA(k=4, inputCol="z", outputCol="o").fit(z).explainedVariance
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(got.toArray())], "component int, share double")
+
+
 QUERIES, ORACLE = C.queries, C.oracle
