@@ -261,10 +261,10 @@ def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least:
     """
     sets = shingle_sets(df.select("tbl", "id", "t").where("t is not null and id is not null"), size, least)
     sets = cut(sets)
-    classes = sets.groupBy("tbl", "sig").agg(F.min("id").alias("rep"))
-    members = sets.select("tbl", "sig", "id").join(classes, ["tbl", "sig"]).select("tbl", "id", "rep").distinct()
-    own = classes.select("tbl", F.col("rep").alias("id"))
-    reps = cut(sets.join(own, ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"]))
+    # rows of one signature hold the same set, so any of them stands for the class; the map side already keeps one
+    same = [F.first(c).alias(c) for c in ("n", "grams", "b0", "b1", "b2", "b3")]
+    reps = cut(sets.groupBy("tbl", "sig").agg(F.min("id").alias("id"), *same))
+    members = sets.select("tbl", "sig", "id").join(reps.select("tbl", "sig", F.col("id").alias("rep")), ["tbl", "sig"]).select("tbl", "id", "rep").distinct()
     cand = cut(candidate_pairs(reps, threshold))
     used = cand.select("tbl", F.col("a").alias("id")).union(cand.select("tbl", F.col("b").alias("id"))).distinct()
     slim = reps.select("tbl", "id", "grams").join(used, ["tbl", "id"], "left_semi")
