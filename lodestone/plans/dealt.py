@@ -19,7 +19,7 @@ def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = normalise_timestamps(_stamps(spark, sf_dir), "written", "zone")
+    out = normalise_timestamps(_stamps(spark, sf_dir), "written", "zone", site="site_zone")
     return out.where("utc_micros is not null").select("paper_id", "field_name", "utc_micros").distinct()
 
 
