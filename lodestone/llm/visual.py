@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 #: Letters that look like a Latin letter, and the letters they look like, in the same order.
 LOOK_ALIKE = "АВЕКМНОРСТХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡ"
 LATIN = "ABEKMHOPCTXSIJaeopcyxsijhdqwABEZHIKMNOPTYXog"
@@ -163,7 +165,8 @@ def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_task: int = 20
     spread over as many salts as it has blocks of ``rows_per_task``, its right rows are repeated per salt, so that no
     task gathers a hot form. Rows with null or invisible texts have no pairs; a key given twice counts once.
     """
-    f = add_visual_form(df, key, text).where("visible").select(key, "own", "form")
+    # the digests are used three times; the texts are read and formed once
+    f = cut(add_visual_form(df, key, text).where("visible").select(key, "own", "form"))
     several = f.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("form", F.ceil(F.col("n") / rows_per_task).cast("int").alias("salts"))
     m = f.join(several, "form")
     left = m.select("form", "own", F.col(key).alias("a"), F.pmod(F.xxhash64(key), F.col("salts")).cast("int").alias("salt"))
