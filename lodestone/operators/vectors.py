@@ -70,3 +70,118 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
     own = out.where(F.col("query") != F.col("key"))
     top = top_per_key(own, ["query"], [F.desc("similarity"), F.col("key")], k)
     return ranked(top, ["query"], [F.desc("similarity"), F.col("key")])
+
+
+#: Vectors of a block, and rows of a block multiplied with another block at once.
+PAIR_BLOCK, TILE = 8192, 512
+
+
+def _block_pairs(rows: DataFrame, key: str, vector: str, tiles, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``tiles(left, right, similar, same)`` for each pair of blocks of vectors, as rows of ``schema``.
+
+    ``similar(a, b)`` is the cosine matrix of rows a to b of ``left`` with all of ``right``. Blocks have a bounded number
+    of vectors, each pair of blocks is one task's group, and no pair of rows is left out. Null vectors have no cosine.
+    """
+    src = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), *extra).where("v is not null")
+    blocks = max(4, -(-src.count() // PAIR_BLOCK))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    spread = src.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o")
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        left, right = (pdf[pdf["b"] == n].sort_values("k").reset_index(drop=True) for n in (i, j))
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        x, y = (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (left, right))
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+        return pd.DataFrame(tiles(left, right, lambda a, b: np.round(x[a:b] @ y.T, 9), i == j), columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spread.groupBy("i", "j").applyInPandas(pair, schema)
+
+
+def _hits(left: pd.DataFrame, right: pd.DataFrame, similar, same: bool, least: float):
+    """(first row, similarities, linked) of each tile; within one block only pairs of a row and a later one."""
+    lk, rk = left["k"].to_numpy(), right["k"].to_numpy()
+    for a in range(0, len(left), TILE):
+        s = similar(a, a + TILE)
+        hit = (s >= least) & (lk[a : a + TILE, None] != rk[None, :])
+        if same:
+            hit &= np.arange(len(rk))[None, :] > np.arange(a, a + len(s))[:, None]
+        yield a, s, hit
+
+
+def similarity_links(rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """(key, links, class) of every vector: the number of others with a cosine of at least ``least``, and the smallest key
+    reachable over such links. The pairs themselves, quadratic for groups of copies, never leave a task: it gives counts
+    and the edges of a spanning forest of its two blocks."""
+    from lodestone.operators.graphs import connected_components, undirected
+    from lodestone.session import cut
+
+    kt = dict(rows.dtypes)[key]
+
+    def tiles(left, right, similar, same):
+        shift = 0 if same else len(left)
+        keys = left["k"].to_numpy() if same else np.concatenate([left["k"].to_numpy(), right["k"].to_numpy()])
+        links, label, forest = np.zeros(len(keys), np.int64), np.arange(len(keys)), []
+        for a, _, hit in _hits(left, right, similar, same, least):
+            links[a : a + len(hit)] += hit.sum(1)
+            links[shift:] += hit.sum(0)
+            for r in range(len(hit)):
+                to = np.flatnonzero(hit[r]) + shift
+                new, at = np.unique(label[to], return_index=True)
+                at = at[new != label[a + r]]
+                if len(at):
+                    forest += [(keys[a + r], keys[t], None) for t in to[at]]
+                    label[np.isin(label, label[to[at]])] = label[a + r]
+        return [(k, None, n) for k, n in zip(keys, links.tolist(), strict=True)] + forest
+
+    got = cut(_block_pairs(rows, key, vector, tiles, f"key {kt}, other {kt}, links long"))
+    n = got.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
+    c = connected_components(cut(undirected(got.where("other is not null"), "key", "other")))
+    return n.join(c.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), "links", F.coalesce("component", "key").alias("class"))
+
+
+def bridged_graph(rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """(src, dst, similarity, kind): every pair src < dst with a cosine of at least ``least`` as 'semantic', and between
+    consecutive components, in the order of their smallest key, the most similar pair as 'bridge' if it is above 0.
+
+    As in the reference, fewer than four vectors are not bridged. Of equally similar pairs the smaller keys are taken.
+    """
+    from lodestone.operators.graphs import connected_components, undirected
+    from lodestone.operators.ranking import ranked
+    from lodestone.session import cut
+
+    kt = dict(rows.dtypes)[key]
+
+    def semantic(left, right, similar, same):
+        lk, rk, out = left["k"].to_numpy(), right["k"].to_numpy(), []
+        for a, s, hit in _hits(left, right, similar, same, least):
+            p, q = np.nonzero(hit)
+            u, v = lk[a + p], rk[q]
+            out.append(pd.DataFrame({"src": np.minimum(u, v), "dst": np.maximum(u, v), "similarity": s[p, q]}))
+        return pd.concat(out)
+
+    edges = cut(_block_pairs(rows, key, vector, semantic, f"src {kt}, dst {kt}, similarity double").distinct())
+    out = edges.withColumn("kind", F.lit("semantic"))
+    src = rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null")
+    if src.select("k").distinct().count() <= 3:
+        return out
+    c = connected_components(cut(undirected(edges, "src", "dst")))
+    part = cut(src.join(c.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component"))
+    order = ranked(part.select("c").distinct(), [], [F.col("c")], "r")
+
+    def bridges(left, right, similar, same):
+        lk, rk, lr, rr, out = left["k"].to_numpy(), right["k"].to_numpy(), left["r"].to_numpy(), right["r"].to_numpy(), []
+        for a in range(0, len(left), TILE):
+            s, r = similar(a, a + TILE), lr[a : a + TILE]
+            p, q = np.nonzero((np.abs(r[:, None] - rr[None, :]) == 1) & (s > 0))
+            up = r[p] < rr[q]
+            t = pd.DataFrame({"r": np.minimum(r[p], rr[q]), "away": -s[p, q], "src": np.where(up, lk[a + p], rk[q]), "dst": np.where(up, rk[q], lk[a + p])})
+            out.append(t.sort_values(["r", "away", "src", "dst"]).drop_duplicates("r"))
+        return pd.concat(out)
+
+    best = _block_pairs(part.join(order, "c"), "k", "v", bridges, f"r long, away double, src {kt}, dst {kt}", ("r",)).groupBy("r").agg(F.min(F.struct("away", "src", "dst")).alias("b"))
+    return out.unionByName(best.select(F.least("b.src", "b.dst").alias("src"), F.greatest("b.src", "b.dst").alias("dst"), (-F.col("b.away")).alias("similarity"), F.lit("bridge").alias("kind")))

@@ -449,6 +449,14 @@ def m2(spark, d):
     return rows.join(small(q), F.col("src") != F.col("dst")).where(F.round(dot(F.col("u"), F.col("v")), 9) >= 0.35).select("src", "dst")
 
 
+@add("m2_bridged_graph")
+def m2_bridged(spark, d):
+    """The whole graph with its bridges, of which m2_semantic_graph and its SQL hold the edges of ids % 50 = 0 only."""
+    from lodestone.operators.vectors import bridged_graph
+
+    return bridged_graph(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.35)
+
+
 @add("m4_negative_samples", "with n as (select distinct source_citation as v from alloy_properties where source_citation is not null), e as (select distinct source_citation as a, phase as b from alloy_properties where source_citation is not null and phase is not null), p as (select distinct phase as b from alloy_properties where phase is not null) select n.v as a, p.b from n, p where not exists (select 1 from e where e.a = n.v and e.b = p.b)")
 def m4(spark, d):
     """Pairs of document and phase without an edge; the phases are a closed list."""

@@ -138,6 +138,12 @@ def j9(spark, d):
     return rows.join(small(q), F.col("q") != F.col("k")).where(F.round(ve.dot(F.col("u"), F.col("v")), 9) >= 0.3).select("q", "k")
 
 
+@add("j9_similarity_links")
+def j9_links(spark, d):
+    """The join over all vectors, of which j9_similarity_join and its SQL hold the sources with id % 50 = 0 only."""
+    return ve.similarity_links(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.3)
+
+
 @add("j10_semi_join", "select page_id from pages_text where filename in (select doc_source from facts where physical_quantity = 'porosity')")
 def j10(spark, d):
     f = table(spark, d, "facts", F.col("doc_source").alias("filename"), "physical_quantity").where("physical_quantity = 'porosity'").select("filename").distinct()
@@ -341,6 +347,15 @@ def m3(spark, d):
     return gr.shortest_paths(e, e.select(F.col("src").alias("node")).distinct().where("node % 50 = 0"), 4)
 
 
+@add("m3_all_shortest_paths")
+def m3_all(spark, d):
+    """Paths from every paper, of which m3_shortest_paths and its SQL hold the origins with id % 50 = 0 only."""
+    from lodestone.session import cut
+
+    e = cut(_paper_graph(spark, d))
+    return gr.shortest_paths(e, e.select(F.col("src").alias("node")).distinct(), 4)
+
+
 @add("m11_connected_components", "select paper_id as node, min(paper_id) over (partition by group_id) as component from duplicate_groups where group_id in (select group_id from duplicate_groups group by 1 having count(*) > 1)")
 def m11(spark, d):
     from lodestone.session import cut
