@@ -100,6 +100,14 @@ def context_window(c: Column, at: Column, before: int, after: int) -> Column:
     return F.substring(c, start, at + after - start)
 
 
+def positions(c: Column, needle: str) -> Column:
+    """One-based positions of all occurrences of a literal that cannot overlap itself; null for null."""
+    parts = F.split(c, rf"\Q{needle}\E", -1)
+    step = F.slice(parts, 1, F.size(parts) - 1)
+    ends = F.aggregate(step, F.array(F.lit(1 - len(needle))), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + len(needle))))
+    return F.slice(ends, 2, F.size(step))
+
+
 def keyword_score(c: Column, words: list[str]) -> Column:
     """``min(hits / max(0.3 n, 1), 1)``."""
     return F.least(contained(c, words) / max(0.3 * len(words), 1.0), F.lit(1.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,52 @@ def number_spans(pages: DataFrame, key: str, text: str) -> DataFrame:
     return src.mapInPandas(spans, f"key {dict(src.dtypes)['k']}, start int, stop int").withColumnRenamed("key", key)
 
 
+#: Words that name a property and a process (reference), and the written forms of a quantity.
+PROPERTY_WORDS = "strength hardness modulus conductivity energy coefficient threshold density viscosity absorptivity reflectivity stress".split()
+PROCESS_WORDS = "ablation melting solidification annealing aging sintering deposition etching polishing".split()
+_QUANTITY = re.compile(r"(?<![\w.,])(\d+(?:[.,]\d+)*)\s?(mm/s|J/mm3|MPa|GPa|kHz|MHz|kW|mW|nm|µm|ns|fs|ps|W|K|%|HV)(?![A-Za-z0-9])")
+#: A stop inside a number ends no sentence.
+_STOP = re.compile(r"[.!?]+(?=\s|$)")
+#: Relation: types of subject and object, distance they stay below in characters, confidence.
+RELATIONS = {"has_property": ("material", "property", 100, 0.7), "affects": ("process", "material", 150, 0.65), "measured_as": ("property", "quantity", 80, 0.8)}
+
+
+def _any_of(words: list[str]) -> re.Pattern:
+    forms = [r"\s+".join(map(re.escape, w.split())) for w in sorted(words, key=lambda w: (-len(w), w))]
+    return re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])", re.I)
+
+
+def sentence_relations(pages: DataFrame, key: str, text: str, materials: dict[str, str]) -> DataFrame:
+    """(key, sentence, subject, predicate, object, confidence, subject_at, object_at): a row for each pair of mentions of one
+    sentence whose starts lie closer than their relation's limit. ``materials``: canonical names by written form, a fixed
+    dimension. All mentions of a sentence take part; one narrow pass, as no pair crosses a sentence."""
+    canonical = {" ".join(k.lower().split()): v for k, v in materials.items()}
+    words = {t: _any_of(w) for t, w in (("material", list(canonical)), ("property", PROPERTY_WORDS), ("process", PROCESS_WORDS)) if w}
+
+    def relate(frames):
+        for f in frames:
+            out = []
+            for k, t in zip(f["k"], f["t"], strict=True):
+                stops = [m.end() for m in _STOP.finditer(t)]
+                said: dict[tuple[int, str], list[tuple[int, str]]] = {}
+                for kind, pattern in words.items():
+                    for m in pattern.finditer(t):
+                        name = " ".join(m.group().lower().split())
+                        said.setdefault((bisect_left(stops, m.end()), kind), []).append((m.start(), canonical[name] if kind == "material" else name))
+                for m in _QUANTITY.finditer(t):
+                    said.setdefault((bisect_left(stops, m.end()), "quantity"), []).append((m.start(), m[1] + m[2]))
+                for n in sorted({n for n, _ in said}):
+                    for relation, (a, b, limit, sure) in RELATIONS.items():
+                        objects = said.get((n, b), [])
+                        for at, subject in said.get((n, a), []):
+                            for o in objects[bisect_left(objects, (at - limit + 1,)) : bisect_left(objects, (at + limit,))]:
+                                out.append((k, n, subject, relation, o[1], sure, at + 1, o[0] + 1))
+            yield pd.DataFrame(out, columns=["key", "sentence", "subject", "predicate", "object", "confidence", "subject_at", "object_at"])
+
+    src = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    return src.mapInPandas(relate, f"key {dict(src.dtypes)['k']}, sentence int, subject string, predicate string, object string, confidence double, subject_at int, object_at int").withColumnRenamed("key", key)
+
+
 def greedy_batches(df: DataFrame, key: str, order: str, size: Column, limit: int, block: int = 5000) -> DataFrame:
     """(key, batch_block, batch, items, chars): items packed in order into batches of at most ``limit``.
 

@@ -228,6 +228,13 @@ def p18(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").where(at > 0).select("page_id", tx.context_window(F.col("text"), at, 60, 60).alias("ctx"))
 
 
+@add("p18_context_windows")
+def p18_all(spark, d):
+    """One row per occurrence, of which p18_context_window and its SQL hold the first of a page only."""
+    p = table(spark, d, "pages_text", "page_id", "text").select("page_id", "text", F.explode(tx.positions(F.col("text"), " MPa")).alias("at"))
+    return p.select("page_id", "at", tx.context_window(F.col("text"), F.col("at"), 60, 60).alias("ctx"))
+
+
 @add("p19_unit_normalise", "select value_id, value * case unit when 'kW' then 1000.0 when 'mm/min' then 0.016666666666666666 when 'GPa' then 1000.0 when 'kg/m3' then 0.001 when 'MHz' then 1000.0 else 1.0 end as base from extracted_values where value is not null")
 def p19(spark, d):
     return normalise_units(table(spark, d, "extracted_values", "value_id", "unit", "value").where("value is not null"), "unit", "value", "base").select("value_id", "base")

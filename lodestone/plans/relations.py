@@ -9,6 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import graphs as gr
 from lodestone.operators import vectors as ve
 from lodestone.operators.ranking import top_per_key
+from lodestone.operators.structure import sentence_relations
 from lodestone.plans.registry import Catalogue
 from lodestone.session import small, table
 
@@ -191,6 +192,14 @@ def j16(spark, d):
     return p.where("g > 0 and s > 0 and abs(g - s) < 100").groupBy("page_id").agg(F.count(F.lit(1)).alias("close_pairs"))
 
 
+@add("j16_sentence_relations")
+def j16_relations(spark, d):
+    """All mentions of a sentence for the three type pairs; j16_band_join and its SQL hold the first words of a page only."""
+    m = table(spark, d, "materials_ref", "canonical_name", "other_names").collect()  # a fixed dimension
+    names = {n.strip(): r["canonical_name"] for r in m for n in (r["other_names"] or "").split(";")} | {r["canonical_name"]: r["canonical_name"] for r in m}
+    return sentence_relations(table(spark, d, "pages_text", "page_id", "text"), "page_id", "text", {k: v for k, v in names.items() if k})
+
+
 @add("j17_two_level_fallback", "with d as (select doc_source, material, row_number() over (partition by doc_source order by count(*) desc, material) as rn from (select distinct item_id, doc_source, material from facts) where material is not null group by 1, 2) select f.item_id, coalesce(f.material, d.material) as material from (select distinct item_id, doc_source, material from facts) f left join d on f.doc_source = d.doc_source and d.rn = 1")
 def j17(spark, d):
     f = table(spark, d, "facts", "item_id", "doc_source", "material").distinct()

@@ -52,3 +52,22 @@ def test_paths_from_every_paper(spark, tmp_path):
     spark.createDataFrame([(1, p) for p in range(101, 107)], "group_id long, paper_id long").write.parquet(str(tmp_path / "duplicate_groups.parquet"))
     got = {tuple(r) for r in catalogue.queries()["m3_all_shortest_paths"](spark, str(tmp_path)).select("origin", "node", "distance").collect()}
     assert got == {(a, b, abs(a - b)) for a in range(101, 107) for b in range(101, 107) if abs(a - b) <= 4}
+
+
+def test_all_mentions_of_a_sentence_are_related(spark):
+    from lodestone.operators.structure import sentence_relations
+
+    text = "Annealing of Alloy\n7 at 1.5 MPa raised the strength. The hardness of A7 and its hardness grew. Strength" + " x" * 50 + " A7 and 9 W."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string")
+    got = [tuple(r)[1:5] for r in sentence_relations(df, "id", "t", {"Alloy 7": "Alloy 7", "A7": "Alloy 7"}).collect()]
+    assert sorted(got) == sorted([(0, "Alloy 7", "has_property", "strength"), (0, "annealing", "affects", "Alloy 7"), (0, "strength", "measured_as", "1.5MPa"), (1, "Alloy 7", "has_property", "hardness"), (1, "Alloy 7", "has_property", "hardness")])
+
+
+def test_one_window_per_occurrence(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    texts = [" MPa at 3 MPa", "none", None, "x" * 80 + " MPa MPa" + "y" * 90]
+    spark.createDataFrame(list(enumerate(texts)), "page_id int, text string").write.parquet(str(tmp_path / "pages_text.parquet"))
+    got = {(r["page_id"], r["at"]): r["ctx"] for r in catalogue.queries()["p18_context_windows"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (0, 10), (3, 81), (3, 85)}
+    assert all(" MPa" in c for c in got.values()) and got[3, 85] == texts[3][24:144]
