@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.pairs import word_hashes
@@ -18,6 +18,8 @@ from lodestone.session import small
 
 _WORDS = re.compile("[a-z0-9]+")
 _CASED = re.compile(r"[A-Za-z0-9]+")
+#: Words of which a decimal is one.
+_DECIMAL_WORDS = re.compile(r"\d+(?:[.,]\d+)+(?![a-z0-9])|[a-z0-9]+")
 #: Bits of the filter of template windows: 2 MB, whatever the number of evaluation items.
 FILTER_BITS = 24
 #: Unit words that are slots of a template.
@@ -46,8 +48,14 @@ def name_words(items: DataFrame, text: str) -> list[str]:
     return sorted(r["w"] for r in got.collect())  # bounded by the vocabulary of the items
 
 
+def known_words(items: DataFrame, text: str) -> frozenset:
+    """All words of the evaluation items: a capitalised word of a document that is none of them can only be a name."""
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)).alias("w")
+    return frozenset(r["w"] for r in items.select(words).distinct().collect())  # bounded by the vocabulary of the items
+
+
 def _slot_class(w: str, names: frozenset) -> str | None:
-    if w.isdigit():
+    if w.isdigit() or w.replace(".", "").replace(",", "").isdigit():
         return "\0number"
     if w in UNITS:
         return "\0unit"
@@ -56,30 +64,40 @@ def _slot_class(w: str, names: frozenset) -> str | None:
     return None
 
 
-def template_windows(df: DataFrame, key: str, text: str, window: int, names: list[str], keep: np.ndarray | None = None) -> DataFrame:
-    """(k, th, eh, words): template hash, exact hash and words of each window of ``window`` words of each text.
+def template_windows(df: DataFrame, key: str, text: str, window: int, names: list[str], keep: np.ndarray | None = None, common: frozenset | None = None, pattern: re.Pattern = _WORDS) -> DataFrame:
+    """(k, th, eh, words, version, at): template hash, exact hash and words of each window of ``window`` words of each text,
+    with a hash of the text and the window's first word.
 
-    With ``keep`` (a bitmap over template hashes) only windows whose bit is set leave the scan's task.
+    With ``keep`` (a bitmap over template hashes) only windows whose bit is set leave the scan's task. With ``common``,
+    capitalised words outside of it are names too.
     """
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((frozenset(names), keep))
+    shared = sc.broadcast((frozenset(names), keep, common))
+
+    def typed(t: str, low: str, w: list[str], known: frozenset, common: frozenset) -> list[str]:
+        if len(low) != len(t):  # a letter that lower-casing lengthens shifts all after it
+            return w
+        up = (t[m.start()].isupper() for m in pattern.finditer(low))
+        return ["\0name" if u and x.isalpha() and x not in common and x not in known and x not in UNITS else x for x, u in zip(w, up, strict=True)]
 
     def windows(batches):
-        known, bitmap = shared.value
+        known, bitmap, common = shared.value
         exact: dict[str, int] = {}
         slots: dict[str, int] = {}
         for b in batches:
-            ks, th, eh, ws = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = _WORDS.findall(t.lower()) if t else []
+            ks, th, eh, ws, vs, ats = [], [], [], [], [], []
+            for k, t, version in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                low = t.lower() if t else ""
+                w = pattern.findall(low)
                 n = len(w) - window + 1
                 if n <= 0:
                     continue
-                for x in set(w).difference(slots):
+                y = w if common is None else typed(t, low, w, known, common)
+                for x in set(y).difference(slots):
                     c = _slot_class(x, known)
                     slots[x] = int(word_hashes([c or x], {})[0])
                 e = word_hashes(w, exact)
-                p = np.fromiter(map(slots.__getitem__, w), np.uint64, len(w))
+                p = np.fromiter(map(slots.__getitem__, y), np.uint64, len(y))
                 with np.errstate(over="ignore"):
                     he, hp = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                     for i in range(window):
@@ -91,15 +109,15 @@ def template_windows(df: DataFrame, key: str, text: str, window: int, names: lis
                     low = (hp & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     at = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
                 for i in at.tolist():
-                    ks.append(k), ws.append(" ".join(w[i : i + window]))
+                    ks.append(k), ws.append(" ".join(w[i : i + window])), vs.append(version), ats.append(i)
                 th.append(hp[at].view(np.int64)), eh.append(he[at].view(np.int64))
             if len(exact) > 1_000_000:
                 exact.clear(), slots.clear()
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, b.schema.field(0).type), pa.array(cat(th)), pa.array(cat(eh)), pa.array(ws, pa.string())], names=["k", "th", "eh", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ks, b.schema.field(0).type), pa.array(cat(th)), pa.array(cat(eh)), pa.array(ws, pa.string()), pa.array(vs, pa.int64()), pa.array(ats, pa.int32())], names=["k", "th", "eh", "words", "version", "at"])
 
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(windows, f"k {dict(src.dtypes)['k']}, th long, eh long, words string")
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("version"))
+    return src.mapInArrow(windows, f"k {dict(src.dtypes)['k']}, th long, eh long, words string, version long, at int")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
@@ -126,7 +144,7 @@ def template_matches(docs: DataFrame, doc_key: str, items: DataFrame, item_key:
     filter of item templates leave the scan of the documents.
     """
     names = name_words(items, text)
-    item_windows = template_windows(items, item_key, text, window, names).distinct()
+    item_windows = template_windows(items, item_key, text, window, names).drop("version", "at").distinct()
     hits = template_windows(docs, doc_key, text, window, names, window_filter(item_windows))
     right = item_windows.select("th", F.col("k").alias("item"), F.col("eh").alias("item_eh"), F.col("words").alias("item_words"))
     return hits.join(small(right), "th").select(F.col("k").alias("doc"), "item", (F.col("eh") == F.col("item_eh")).alias("exact"), F.col("words").alias("doc_words"), "item_words")
@@ -138,12 +156,32 @@ def leaked_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str,
     return m.where("exact").select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
 
 
+def template_runs(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str, window: int, names: list[str], common: frozenset, pattern: re.Pattern) -> DataFrame:
+    """(doc, item, run columns, exact, doc_words, item_words) of the matched windows; a run is an occurrence: windows of one
+    text of the document and one of the item that follow each other in both."""
+    found = template_windows(items, item_key, text, window, names, None, common, pattern).distinct()
+    hits = template_windows(docs, doc_key, text, window, names, window_filter(found), common, pattern)
+    right = found.select("th", F.col("k").alias("item"), F.col("eh").alias("item_eh"), F.col("words").alias("item_words"), F.col("version").alias("item_version"), F.col("at").alias("item_at"))
+    m = hits.join(small(right), "th").select(F.col("k").alias("doc"), "item", "version", "item_version", (F.col("at") - F.col("item_at")).alias("shift"), "at", (F.col("eh") == F.col("item_eh")).alias("exact"), F.col("words").alias("doc_words"), "item_words").distinct()
+    run = Window.partitionBy("doc", "item", "version", "item_version", "shift").orderBy("at")
+    return m.withColumn("run", F.col("at") - F.row_number().over(run)).where("not exact").drop("exact", "at")
+
+
 def reparameterised_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 12) -> DataFrame:
-    """Documents that hold an item's template with other slot values, consistently: each slot value of the item is
-    replaced by one and the same value wherever it occurs in the matched windows. Columns doc, item, slots, windows."""
-    m = template_matches(docs, doc_key, items, item_key, text, window).where("not exact").select("doc", "item", "doc_words", "item_words").distinct()
+    """Documents that hold an item's template with other slot values, consistently: in an occurrence each slot value of the
+    item that is replaced is replaced by one and the same value. Columns doc, item, slots, windows, the latter two of the
+    longest such occurrence.
+
+    Names are known from the items, or in documents as capitalised words that no item has. A decimal is one number; it is
+    also read as two, as runs of ``window`` words count it so.
+    """
+    names, known = name_words(items, text), known_words(items, text)
+    parts = [template_runs(docs, doc_key, items, item_key, text, window, names, known, p).withColumn("reading", F.lit(n)) for n, p in enumerate((_WORDS, _DECIMAL_WORDS))]
+    m = parts[0].unionByName(parts[1])
+    key = ["doc", "item", "version", "item_version", "shift", "run", "reading"]
     z = m.withColumn("s", F.explode(F.filter(F.arrays_zip(F.split("item_words", " ").alias("i"), F.split("doc_words", " ").alias("d")), lambda x: x["i"] != x["d"])))
-    slots = z.groupBy("doc", "item", "s.i").agg(F.count_distinct("s.d").alias("values"))
-    ok = slots.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("slots"), F.max("values").alias("most")).where("most = 1")
-    n = m.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("windows"))
-    return ok.join(n, ["doc", "item"]).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "slots", "windows")
+    slots = z.groupBy(*key, "s.i").agg(F.count_distinct("s.d").alias("values"))
+    ok = slots.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.max("values").alias("most")).where("most = 1")
+    n = m.groupBy(*key).agg(F.count(F.lit(1)).alias("windows"))
+    best = ok.join(n, key).groupBy("doc", "item").agg(F.max(F.struct("windows", "slots")).alias("b"))
+    return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "b.slots", "b.windows")
