@@ -46,9 +46,14 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 x = np.stack(f["v"].to_numpy()).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
                 s = np.round(x @ m.T, 9)
-                top = np.argpartition(-s, min(k, len(s) - 1), axis=0)[: k + 1]
-                cols = np.broadcast_to(np.arange(len(ids)), top.shape)
-                got = pd.DataFrame({"query": np.array(ids)[cols.ravel()], "key": f["k"].to_numpy()[top.ravel()], "similarity": s[top.ravel(), cols.ravel()]})
+                # in the order of the keys, so that of equal similarities the smaller keys are kept
+                by_key = np.argsort(f["k"].to_numpy(), kind="stable")
+                s, keys = s[by_key], f["k"].to_numpy()[by_key]
+                least = -np.partition(-s, min(k, len(s) - 1), axis=0)[min(k, len(s) - 1)]
+                above, equal = s > least, s == least
+                keep = above | (equal & (np.cumsum(equal, axis=0, dtype=np.int32) <= k + 1 - above.sum(0)))
+                top, cols = np.nonzero(keep)
+                got = pd.DataFrame({"query": np.array(ids)[cols], "key": keys[top], "similarity": s[top, cols]})
                 kept = got if kept is None else pd.concat([kept, got])
                 kept = kept.sort_values(["query", "similarity", "key"], ascending=[True, False, True]).groupby("query").head(k + 1)
             if kept is not None:

@@ -89,3 +89,11 @@ def test_new_names_decimals_and_variants_are_found(spark):
     q = spark.createDataFrame([(8, item), (9, long)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in leaks.reparameterised_items(d, "doc_id", q, "item_id").collect()}
     assert got == {(1, 8), (2, 8), (3, 9), (4, 9)}
+
+
+def test_ties_go_to_the_smaller_key_in_any_batch(spark):
+    v = [1.0, 2.0, 3.0]
+    ids = np.random.default_rng(1).permutation(400).tolist()
+    df = spark.createDataFrame([(i, v) for i in ids], "id int, v array<double>").repartition(1)
+    got = ve.nearest(df, df.where("id in (0, 200)"), "id", "v", 5).collect()
+    assert {(r["query"], r["key"], r["rank"]) for r in got} == {(0, n, n) for n in range(1, 6)} | {(200, n, n + 1) for n in range(5)}
