@@ -40,6 +40,12 @@ def s2(spark, d):
     return table(spark, d, "pages_text", "page_id", "page_num", "text").where(F.col("page_num").isin(1, 2, 3)).select("page_id", tx.truncated(F.col("text"), 300).alias("text"))
 
 
+@add("s2_pages_truncated")
+def s2_all(spark, d):
+    """Every page up to the reference's 20,000 characters; s2_page_subset_truncated and its SQL cut pages 1 to 3 at 300."""
+    return table(spark, d, "pages_text", "page_id", "text").select("page_id", tx.truncated(F.col("text"), 20_000).alias("text"))
+
+
 @add("s3_page_range_scan", "select page_id, page_num from pages_text where page_num in (select unnest(generate_series(1, 7, 2)))")
 def s3(spark, d):
     wanted = spark.range(1, 8, 2).select(F.col("id").cast("int").alias("page_num"))
@@ -104,6 +110,14 @@ def p1(spark, d):
     return x.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"), F.substring(F.sha2(F.substring("text", 1, 1024), 256), 1, 16).alias("short"))
 
 
+@add("p1_long_hashes")
+def p1_long(spark, d):
+    """Hashes as in p1_hashes, but the short one of the first 1 MiB, as in the reference, where that SQL takes 1024 characters."""
+    x = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    head = F.substring(F.encode("text", "UTF-8"), 1, 1 << 20)
+    return x.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"), F.substring(F.sha2(head, 256), 1, 16).alias("short"))
+
+
 _PDF = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
 _part = lambda i: f"coalesce(nullif(regexp_extract(creation_date, '{_PDF}', {i}), ''), '01')"
 
@@ -129,6 +143,16 @@ def p5(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.coalesce(tx.first_match(t, r"(?s)^(.{1,900}?)\n\s*\n", 1), F.substring(t, 1, 500)).alias("abstract"))
 
 
+@add("p5_abstracts")
+def p5_all(spark, d):
+    """The reference's rule: up to 2000 characters after the word abstract, ended by a blank line, a first section or the
+    keywords; else the first 500 characters. p5_abstract_extraction and its SQL look 900 characters far, for blank lines."""
+    t = F.col("text")
+    found = tx.first_match(t, r"(?i)abstract[:\s]*([\s\S]{1,2000}?)(?=\n\n|\n\s*(?:1\.|introduction|keywords))", 1)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return table(spark, d, "pages_text", "page_id", "text").select("page_id", strip(F.coalesce(found, F.substring(t, 1, 500))).alias("abstract"))
+
+
 @add("p6_topic_counts", "select * from (" + " union all ".join(f"select page_id, '{n}' as topic, {_hits('text', p)} as n from pages_text" for n, p in vo.TOPICS.items()) + ") where n > 0")
 def p6(spark, d):
     pages = table(spark, d, "pages_text", "page_id", "text")

@@ -97,3 +97,20 @@ def test_ties_go_to_the_smaller_key_in_any_batch(spark):
     df = spark.createDataFrame([(i, v) for i in ids], "id int, v array<double>").repartition(1)
     got = ve.nearest(df, df.where("id in (0, 200)"), "id", "v", 5).collect()
     assert {(r["query"], r["key"], r["rank"]) for r in got} == {(0, n, n) for n in range(1, 6)} | {(200, n, n + 1) for n in range(5)}
+
+
+def test_limits_are_those_of_the_reference(spark, tmp_path):
+    import hashlib
+
+    from lodestone.plans import catalogue
+
+    q = catalogue.queries()
+    body = "w" * 1500
+    pages = [(1, 1, f"Title\nAbstract: {body}\nIntroduction x\n\n"), (2, 7, "z" * 20_001), (3, 2, "a\nABSTRACT " + body + "\n 1. x"), (4, 1, None)]
+    spark.createDataFrame(pages, "page_id int, page_num int, text string").write.parquet(str(tmp_path / "pages_text.parquet"))
+    texts = ["µ" * 1000 + "a", "µ" * 1000 + "b", "µ" * 600_000]
+    texts += ["q" * 1024 + "a", "q" * 1024 + "b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["page_id"]: r["abstract"] for r in q["p5_abstracts"](spark, str(tmp_path)).collect()} == {1: body, 2: "z" * 500, 3: body, 4: None}
+    assert {r["page_id"]: r["text"] for r in q["s2_pages_truncated"](spark, str(tmp_path)).collect()} == {n: t if n != 2 else "z" * 20_000 + " [cut]" for n, _, t in pages}
+    assert {r["doc_id"]: r["short"] for r in q["p1_long_hashes"](spark, str(tmp_path)).collect()} == {n: hashlib.sha256(t.encode()[: 1 << 20]).hexdigest()[:16] for n, t in enumerate(texts)}
