@@ -91,7 +91,7 @@ def j1(spark, d):
     a = p.groupBy("doc_name", "material").agg(F.count(F.lit(1)).alias("np"))
     b = s.groupBy("d2", "m2").agg(F.count(F.lit(1)).alias("ns"))
     j = a.join(b, (F.col("doc_name") == F.col("d2")) & F.col("material").eqNullSafe(F.col("m2")))
-    return j.agg(F.sum(F.col("np") * F.col("ns")).alias("pairs"), F.count_distinct("doc_name").alias("docs"))
+    return j.agg(F.coalesce(F.sum(F.col("np") * F.col("ns")), F.lit(0)).alias("pairs"), F.count_distinct("doc_name").alias("docs"))
 
 
 @add("j2_material_means", "select p.material, p.n as power_n, s.n as speed_n from (select material, count(*) as n from (select distinct * from extracted_values) where physical_quantity = 'laser_power' and value is not null group by 1) p join (select material, count(*) as n from (select distinct * from extracted_values) where physical_quantity = 'scan_speed' and value is not null group by 1) s on p.material = s.material")
