@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -24,18 +25,22 @@ def build_session(app: str = "lodestone", cores: int | str = "*", shuffle_partit
     )
 
 
+_SHIPPING = threading.Lock()
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers once per application, so that no worker needs it on its path."""
     sc = spark.sparkContext
-    if getattr(sc, "_lodestone_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._lodestone_shipped = True
+    with _SHIPPING:
+        if getattr(sc, "_lodestone_shipped", False):
+            return
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        sc._lodestone_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
@@ -63,6 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
