@@ -10,7 +10,7 @@ from lodestone.llm.consensus import consensus_survivors, usable_abstract, usable
 from lodestone.llm.encode import encode_corpus
 from lodestone.llm.leaks import leaked_items, reparameterised_items
 from lodestone.llm.pairs import expand_pairs, similar_classes
-from lodestone.llm.scans import repair_scans
+from lodestone.llm.scans import repair_scans, scan_repairs
 from lodestone.llm.split import split_oversized
 from lodestone.llm.visual import add_visual_form, look_alike_pairs
 from lodestone.session import small, table
@@ -88,17 +88,17 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("g").pivot("field", list(_FIELDS)).agg(F.max("value")).withColumnRenamed("g", "group_id")
 
 
-def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_scans(table(spark, sf_dir, "pages_text", "page_id", "filename", "page_num", "text"), "page_id", "filename", "page_num", "text")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages_text", "page_id", "filename", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir).select("page_id", F.explode("repairs").alias("r")).select("page_id", "r.kind", "r.item").distinct()
+    return scan_repairs(_pages(spark, sf_dir), "page_id", "filename", "text").select("page_id", "kind", "item").distinct()
 
 
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as continuous paragraphs."""
-    return _repaired(spark, sf_dir).select("page_id", "text")
+    return repair_scans(_pages(spark, sf_dir), "page_id", "filename", "text").select("page_id", "text")
 
 
 def _long_texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:

@@ -135,7 +135,7 @@ def test_scan_repair(spark):
         pages.append((100 + n, "s.pdf", n, f"{head}\nThe melt pool of the 1aser moves along the sur-\nface and well\nthe 5urface cools.\n- {n + 40} -"))
     pages += [(200, "n.pdf", 1, None), (201, "n.pdf", 2, ""), (202, None, None, " \r\n ")]
     df = spark.createDataFrame(pages, "page_id long, filename string, page_num int, text string").repartition(2)
-    rows = {r["page_id"]: r for r in scans.repair_scans(df, "page_id", "filename", "page_num", "text").collect()}
+    rows = {r["page_id"]: r for r in scans.repair_scans(df, "page_id", "filename", "text").collect()}
     for n in (1, 2, 3):
         r = rows[100 + n]
         assert {(x["kind"], x["item"]) for x in r["repairs"]} == {("header", head), ("number", f"- {n + 40} -"), ("hyphen", "surface"), ("char", "laser"), ("char", "surface")}
@@ -146,10 +146,14 @@ def test_scan_repair(spark):
 
 def test_own_hyphens_stay():
     counts = {"well-developed": 50, "surface": 50}
-    c = scans.Corrector(lambda w: counts.get(w, 0), {}, scans.ScanParams())
-    assert c.join("well", "developed") == "well-developed"
-    assert c.join("sur", "face") == "surface"
-    assert c.join("un", "seen") == "unseen"
+
+    def join(a, b):
+        return scans.joined_word(a, b, lambda w: counts.get(w, 0))
+
+    assert join("well", "developed") == "well-developed"
+    assert join("sur", "face") == "surface"
+    assert join("un", "seen") == "unseen"
+    assert join("sur", "facc") == "surface"
 
 
 # problem 7
