@@ -11,6 +11,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +58,10 @@ class Profile:
         self.combine = combine
 
     def merge(self, other: Profile) -> None:
-        steps = _align([self._keys(c) for c in self.columns], [self._keys(c) for c in other.columns])
+        steps = align([self._keys(c) for c in self.columns], [self._keys(c) for c in other.columns])
         out = []
         for i, j in steps:
-            a = dict(self.columns[i]) if i is not None else {None: self.total}
+            a = self.columns[i] if i is not None else {None: self.total}
             b = other.columns[j] if j is not None else {None: other.total}
             for t, w in b.items():
                 a[t] = self.combine(a[t], w) if t in a else w
@@ -76,9 +77,22 @@ class Profile:
         return [t for t in best if t is not None]
 
 
+def align(a: list[frozenset], b: list[frozenset]) -> list[tuple[int | None, int | None]]:
+    """Global alignment of two profiles' columns. Columns that agree at both ends are aligned in any best alignment, so only
+    what lies between them is scored."""
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i].isdisjoint(b[i])), least)
+    tail = next((i for i in range(least - head) if a[-1 - i].isdisjoint(b[-1 - i])), least - head)
+    between = _align(a[head : len(a) - tail], b[head : len(b) - tail])
+    shifted = [(None if i is None else i + head, None if j is None else j + head) for i, j in between]
+    return [(i, i) for i in range(head)] + shifted + [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
+
+
 def _align(a: list[frozenset], b: list[frozenset]) -> list[tuple[int | None, int | None]]:
-    """Global alignment of two profiles' columns; a row of scores is one vector operation."""
+    """Best alignment of two lists of columns; a row of scores is one vector operation."""
     n, m = len(a), len(b)
+    if not n or not m:
+        return [(i, None) for i in range(n)] + [(None, j) for j in range(m)]
     where: dict[str, list[int]] = {}
     for j, keys in enumerate(b):
         for k in keys:
@@ -114,8 +128,12 @@ def _align(a: list[frozenset], b: list[frozenset]) -> list[tuple[int | None, int
 
 def token_distance(a: list[str], b: list[str]) -> int:
     """Edit distance of two token lists; each row is one vector operation."""
-    if a == b:
-        return 0
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
     codes = {t: i for i, t in enumerate(dict.fromkeys(a + b))}
     x, y = [codes[t] for t in a], np.array([codes[t] for t in b], np.int64)
     slope = np.arange(len(y) + 1)
@@ -150,48 +168,58 @@ def consensus_survivors(values: DataFrame, dominant: bool = True) -> DataFrame:
     gtype, rtype = dict(d.dtypes)["g"], dict(d.dtypes)["row"]
     combine = _larger if dominant else _added
 
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trust", "row"], ascending=False)
+    def profile_of(found: list[dict]) -> Profile:
         profile = None
-        for v, votes, trust, row in pdf[["value", "votes", "trust", "row"]].itertuples(index=False):
-            weight = (trust, row) if dominant else (float(votes), (trust, row))
-            one = Profile(v.split(), weight, combine)
+        for x in sorted(found, key=lambda x: (x["trust"], x["row"]), reverse=True):
+            weight = (x["trust"], x["row"]) if dominant else (float(x["votes"]), (x["trust"], x["row"]))
+            one = Profile(x["value"].split(), weight, combine)
             if profile is None:
                 profile = one
             else:
                 profile.merge(one)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"g": [first["g"]], "field": [first["field"]], "block": [first["block"]], "profile": [pickle.dumps(profile)]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pickle.loads(p) for p in pdf.sort_values("block")["profile"]]
-        for p in parts[1:]:
-            parts[0].merge(p)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"g": [first["g"]], "field": [first["field"]], "block": [first["parent"]], "profile": [pickle.dumps(parts[0])]})
+        return profile
+
+    def survivor(batches):
+        """The row of each whole group."""
+        for b in batches:
+            rows = []
+            for found in b.column(2).to_pylist():
+                goal = profile_of(found).consensus()
+                rows.append(max(found, key=lambda x: (-token_distance(x["value"].split(), goal), x["trust"], x["row"]))["row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, b.schema.field(2).type.value_type.field("row").type)], names=["g", "field", "row"])
+
+    def block_profiles(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([pickle.dumps(profile_of(found)) for found in b.column(3).to_pylist()], pa.binary())], names=["g", "field", "block", "profile"])
+
+    def merged(batches):
+        for b in batches:
+            out = []
+            for found in b.column(3).to_pylist():
+                first, *rest = (pickle.loads(x["profile"]) for x in sorted(found, key=lambda x: x["block"]))
+                for other in rest:
+                    first.merge(other)
+                out.append(pickle.dumps(first))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["g", "field", "block", "profile"])
 
     schema = f"g {gtype}, field string, block int, profile binary"
+    member = F.collect_list(F.struct("value", "votes", "trust", "row")).alias("found")
     # groups of one value need no alignment: the value is the consensus
     alone = d.where("n = 1").select("g", "field", "row")
-
-    def survivor(pdf: pd.DataFrame) -> pd.DataFrame:
-        goal = pickle.loads(align(pdf)["profile"].iloc[0]).consensus()
-        best = max(pdf[["value", "trust", "row"]].itertuples(index=False), key=lambda r: (-token_distance(r[0].split(), goal), r[1], r[2]))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "field": [pdf["field"].iloc[0]], "row": [best[2]]})
-
     # alignment is heavy for its bytes, so the number of tasks is set here and not left to the size of the data
     conf = d.sparkSession.conf.get("spark.sql.shuffle.partitions")
     tasks = max(2 * d.sparkSession.sparkContext.defaultParallelism, int(conf))
-    one_block = d.where(f"n between 2 and {BLOCK}").repartition(tasks, "g", "field")
-    alone = alone.unionByName(one_block.groupBy("g", "field").applyInPandas(survivor, f"g {gtype}, field string, row {rtype}"))
+    one_block = d.where(f"n between 2 and {BLOCK}").repartition(tasks, "g", "field").groupBy("g", "field").agg(member)
+    alone = alone.unionByName(one_block.mapInArrow(survivor, f"g {gtype}, field string, row {rtype}"))
     most = d.agg(F.max("n")).first()[0] or 0
     if most <= BLOCK:
         return alone.select("g", "field", F.col("row").cast(rtype).alias("row"))
     several = d.where(f"n > {BLOCK}").repartition(tasks, "g", "field", "block")
-    profiles = several.groupBy("g", "field", "block").applyInPandas(align, schema)
+    profiles = several.groupBy("g", "field", "block").agg(member).mapInArrow(block_profiles, schema)
     blocks = -(-most // BLOCK)
     while blocks > 1:
-        profiles = cut(profiles.withColumn("parent", F.floor(F.col("block") / 16).cast("int")).groupBy("g", "field", "parent").applyInPandas(merge, schema))
+        up = profiles.withColumn("parent", F.floor(F.col("block") / 16).cast("int")).groupBy("g", "field", "parent")
+        profiles = cut(up.agg(F.collect_list(F.struct("block", "profile")).alias("found")).mapInArrow(merged, schema))
         blocks = -(-blocks // 16)
 
     @F.pandas_udf("string")

@@ -248,3 +248,30 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in visual.look_alike_pairs(df, "doc_id", "text", rows_per_task=2).collect()}
     assert got == {(1, 2), (1, 4), (2, 4), (2, 11), (4, 11), (12, 13)}
+
+
+def test_alignment_of_agreeing_ends_is_as_good():
+    def score(a, b, steps):
+        return sum(-1 if i is None or j is None else 2 if a[i] & b[j] else -1.5 for i, j in steps)
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([frozenset(rng.choice("abcd")) for _ in range(rng.randrange(9))] for _ in range(2))
+        steps = consensus.align(a, b)
+        assert [i for i, _ in steps if i is not None] == list(range(len(a))) and [j for _, j in steps if j is not None] == list(range(len(b)))
+        assert score(a, b, steps) == score(a, b, consensus._align(a, b))
+
+
+def test_token_distance_equals_the_plain_one():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
+        assert consensus.token_distance(a, b) == plain(a, b)
