@@ -27,15 +27,30 @@ MISSING_UNITS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nan", "unknow
 
 @dataclass(frozen=True)
 class UnitModelParams:
-    """Parameters of the missing-unit classifier; ``max_train_rows`` bounds the labelled rows it is fitted on."""
+    """Parameters of the missing-unit classifier; ``max_train_rows`` bounds the labelled rows it is fitted on.
+
+    A prediction is converted from a calibrated probability of ``confident`` on if the text names the same unit, and of
+    ``silent`` on if it names none.
+    """
 
     max_train_rows: int = 6000
     trees: int = 24
     depth: int = 7
     confident: float = 0.5
+    silent: float = 0.9
     seed: int = 7
 
 
+@dataclass(frozen=True)
+class UnitModel:
+    """Usage statistics, forest and calibration; rows whose ``row_hash`` is at most ``last`` are those it was fitted on."""
+
+    stats: DataFrame
+    forest: object
+    isotonic: object | None
+    last: int
+
+
 def quantity_key(name: Column) -> Column:
     """Comparable spelling of a quantity name: letters and digits only, lower-cased."""
     return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]+", ""))
@@ -120,6 +135,11 @@ def with_context_unit(w: DataFrame) -> DataFrame:
     return attach_factor(w, "ckey").withColumnsRenamed({"factor": "context_factor", "offset": "context_offset"})
 
 
+def row_hash() -> Column:
+    """Order of the rows by which the labelled sample is taken, whatever their partitions."""
+    return F.xxhash64("table_name", "row_id")
+
+
 _FEATURES = ["magnitude", "raw", "usual", "mention", "category", "origin"]
 
 
@@ -137,9 +157,9 @@ def _features(rows: DataFrame, stats: DataFrame, keep_mention: Column) -> DataFr
 
 
 def fit_unit_model(prepared: DataFrame, params: UnitModelParams = UnitModelParams()):
-    """Fit forest and calibration on a bounded sample of rows with stated units; returns (stats, forest, isotonic).
+    """``UnitModel`` of forest and calibration fitted on a bounded sample of rows with stated units.
 
-    The usage statistics (how often each unit is stated, the spread of magnitudes) cover all rows. Their size is bounded
+    The sample is the rows of least ``row_hash``, so the same rows give the same model. The usage statistics (how often each unit is stated, the spread of magnitudes) cover all rows. Their size is bounded
     by the alias table. Returns None if no row states a known unit.
     """
     stated = prepared.where("stated_factor is not null")
@@ -155,8 +175,13 @@ def fit_unit_model(prepared: DataFrame, params: UnitModelParams = UnitModelParam
     stats["category"] = stats["quantity"].map(order)
     spark = prepared.sparkSession
     stats_df = spark.createDataFrame(stats, "quantity string, factor double, offset double, usual double, mid double, spread double, category int")
-    share = min(1.0, 1.5 * params.max_train_rows / max(1, int(got["n"].sum())))
-    sample = with_context_unit(stated.where(F.rand(params.seed) < share).limit(params.max_train_rows))
+    # rows beyond a multiple of the share that is needed are left out before the sort
+    share = min(1.0, 1.5 * params.max_train_rows / max(1, int(got["n"].sum())) + 0.001)
+    near = stated.withColumn("h", row_hash()).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) - (1 if share >= 1 else 0))
+    sample = cut(with_context_unit(near.orderBy("h", "table_name", "row_id", "value").limit(params.max_train_rows)))
+    last = sample.agg(F.max("h")).first()[0]
+    if last is None:
+        return None
     hashed = F.pmod(F.xxhash64("table_name", "row_id"), F.lit(10))
     labelled = _features(sample.withColumn("bucket", hashed), stats_df, F.pmod(F.col("bucket"), F.lit(2)) == 0)
     label = ((F.col("factor") == F.col("stated_factor")) & (F.col("offset") == F.col("stated_offset"))).cast("double")
@@ -167,24 +192,27 @@ def fit_unit_model(prepared: DataFrame, params: UnitModelParams = UnitModelParam
     forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, seed=params.seed, subsamplingRate=0.7).fit(train)
     scored = forest.transform(held).select("label", vector_to_array("probability")[1].alias("p"))
     isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored) if not held.isEmpty() else None
-    return stats_df, forest, isotonic
+    return UnitModel(stats_df, forest, isotonic, last)
 
 
-def infer_units(missing: DataFrame, model, params: UnitModelParams = UnitModelParams()) -> DataFrame:
+def infer_units(missing: DataFrame, model: UnitModel, params: UnitModelParams = UnitModelParams()) -> DataFrame:
     """Best candidate unit per row without unit: factor, offset, calibrated probability ``p`` and ``decision``.
 
-    ``decision`` is 'convert' where p reaches ``params.confident``, else 'review'. The only shuffle groups the few
+    ``decision`` is 'convert' where p reaches ``params.confident`` and the text names this unit after the value, or
+    ``params.silent`` and the text names no unit there, else 'review'. The only shuffle groups the few
     candidates of each row by the row's key, so no key gathers more than the candidates of one quantity.
     """
-    stats_df, forest, isotonic = model
-    cand = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(_features(missing, stats_df, F.lit(True)))
+    forest, isotonic = model.forest, model.isotonic
+    cand = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(_features(missing, model.stats, F.lit(True)))
     cand = forest.transform(cand).withColumn("p", vector_to_array("probability")[1])
     if isotonic is not None:
         cand = isotonic.setPredictionCol("calibrated").transform(cand.drop("prediction")).withColumn("rank", F.col("p")).withColumn("p", F.col("calibrated"))
     else:
         cand = cand.withColumn("rank", F.col("p"))
+    named = (F.col("factor") == F.col("context_factor")) & (F.col("offset") == F.col("context_offset"))
+    needed = F.when(named, params.confident).when(F.col("context_factor").isNull(), params.silent).otherwise(2.0)
     best = cand.groupBy("table_name", "row_id", "quantity", "value").agg(F.max(F.struct("p", "rank", "usual", "factor", "offset")).alias("b"), F.first("context_factor").alias("context_factor"), F.first("context_offset").alias("context_offset"))
-    return best.select("table_name", "row_id", "quantity", "value", "b.factor", "b.offset", "b.p", "context_factor", "context_offset").withColumn("decision", F.when(F.col("p") >= params.confident, "convert").otherwise("review"))
+    return best.select("table_name", "row_id", "quantity", "value", "b.factor", "b.offset", "b.p", "context_factor", "context_offset").withColumn("decision", F.when(F.col("p") >= needed, "convert").otherwise("review"))
 
 
 @F.pandas_udf(T.StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.timestamps import estimate_zones, normalise_timestamps
-from lodestone.operators.units import converted, fit_unit_model, infer_units, prepare, with_context_unit
+from lodestone.operators.units import UnitModel, converted, fit_unit_model, infer_units, prepare, row_hash, with_context_unit
 from lodestone.session import cut, table
 
 _STAMPS = ["creation_date", "mod_date", "upload_time"]
@@ -40,31 +40,53 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.unionByName(e)
 
 
-def _p4_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None]:
+def _p4_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, UnitModel | None, DataFrame]:
+    """(prepared rows, model, rows without unit and the unit predicted for each)."""
     prepared = prepare(_measured(spark, sf_dir), table(spark, sf_dir, "quantity_units"))
     model = fit_unit_model(prepared)
-    if model is None:
-        return prepared, None
-    return prepared, infer_units(with_context_unit(prepared.where("missing")), model)
+    missing = with_context_unit(prepared.where("missing"))
+    if model is None:  # no unit is stated anywhere, so nothing can be learned and the text alone decides
+        p = F.when(F.col("context_factor").isNotNull(), 1.0).otherwise(0.0)
+        alone = missing.select("table_name", "row_id", "quantity", "value", F.col("context_factor").alias("factor"), F.col("context_offset").alias("offset"), p.alias("p"), "context_factor", "context_offset")
+        return prepared, None, alone.withColumn("decision", F.when(F.col("p") == 1, "convert").otherwise("review"))
+    return prepared, model, infer_units(missing, model)
+
+
+def _stated(prepared: DataFrame) -> DataFrame:
+    return converted(prepared.where("stated_factor is not null and unit <> base_unit"), "stated_factor", "stated_offset")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated units are converted; predicted ones only where the text names the same unit after the value."""
-    prepared, inferred = _p4_parts(spark, sf_dir)
-    stated = converted(prepared.where("stated_factor is not null and unit <> base_unit"), "stated_factor", "stated_offset")
-    if inferred is None:
-        return stated.distinct()
+    prepared, _, inferred = _p4_parts(spark, sf_dir)
     sure = inferred.where("decision = 'convert' and factor = context_factor and offset = context_offset")
-    return stated.unionByName(converted(sure, "factor", "offset")).distinct()
+    return _stated(prepared).unionByName(converted(sure, "factor", "offset")).distinct()
+
+
+def p4_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values that come out in the base unit: also those whose unit only the classifier tells, as the text is silent."""
+    prepared, _, inferred = _p4_parts(spark, sf_dir)
+    sure = converted(inferred.where("decision = 'convert'"), "factor", "offset")
+    return _stated(prepared).withColumn("by", F.lit("stated")).unionByName(sure.withColumn("by", F.lit("predicted"))).distinct()
 
 
 def p4_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value without unit: the predicted conversion, its calibrated probability and whether it needs review."""
-    _, inferred = _p4_parts(spark, sf_dir)
-    if inferred is None:
-        return spark.createDataFrame([], "table_name string, row_id long, quantity string, factor double, p double, decision string")
-    return inferred.select("table_name", "row_id", "quantity", "factor", "p", "decision")
+    return _p4_parts(spark, sf_dir)[2].select("table_name", "row_id", "quantity", "factor", "p", "decision")
+
+
+def p4_hidden_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy per quantity on values whose stated unit and text are withheld; rows the model was fitted on are left out."""
+    prepared, model, _ = _p4_parts(spark, sf_dir)
+    if model is None:
+        return spark.createDataFrame([], "quantity string, n long, converted long, right long")
+    known = prepared.where("stated_factor is not null").where((row_hash() > model.last) | (F.pmod(row_hash(), F.lit(10)) >= 8))
+    blind = known.withColumns({"context_factor": F.lit(None).cast("double"), "context_offset": F.lit(None).cast("double")})
+    truth = known.select("table_name", "row_id", "value", F.col("stated_factor").alias("f"), F.col("stated_offset").alias("o")).distinct()
+    got = infer_units(blind, model).join(truth, ["table_name", "row_id", "value"])
+    sure = F.col("decision") == "convert"
+    return got.groupBy("quantity").agg(F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("converted"), F.count_if(sure & (F.col("factor") == F.col("f")) & (F.col("offset") == F.col("o"))).alias("right"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_zone_estimates": p1_zone_estimates, "p4_found": p4_found, "p4_review": p4_review}
+QUERIES = {"p1_found": p1_found, "p1_zone_estimates": p1_zone_estimates, "p4_found": p4_found, "p4_converted": p4_converted, "p4_review": p4_review, "p4_hidden_units": p4_hidden_units}
 ORACLE: dict[str, str] = {}
