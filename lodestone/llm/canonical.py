@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 #: Placeholders that say a value is missing, lower-cased.
 MISSING = ("", "-", "--", "n/a", "na", "none", "null", "nan", "unknown", "?", "not given", "unspecified", "tbd")
 #: Words within a name that do not tell materials apart.
@@ -170,12 +172,20 @@ class Dictionary:
         return best[1] if best else 0
 
 
+#: Characters of names of a list that may be broadcast; its delete index takes about forty times as many bytes.
+MOST_BYTES = 2 << 20
+
+
 def map_to_list(df: DataFrame, value: str, rows: list[tuple[int, str, str | None]], out: str = "reference_id", edits: int = 1, frequency: dict[int, int] | None = None) -> DataFrame:
     """Add ``out`` (int): the number of the reference entry meant by ``value``, 0 if the list has none, null if missing.
 
     Missing are null, empty, blank and placeholder values. Ties go to the closer, then the more frequent, then the
-    smaller entry. Narrow: the value column passes through Arrow with a cache per task, nothing is shuffled.
+    smaller entry. Narrow: the value column passes through Arrow with a cache per task, nothing is shuffled. The list is
+    broadcast, so its names may come to ``MOST_BYTES`` at most.
     """
+    if sum(len(name) + len(other or "") for _, name, other in rows) > MOST_BYTES:
+        raise ValueError("the reference list is too large to be broadcast")
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Dictionary(rows, edits, frequency=frequency))
     fields = df.schema.fieldNames()
     at = fields.index(value)

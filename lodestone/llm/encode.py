@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,6 +170,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, p
     """
     if path is None:
         path, pattern = public_vocabulary()
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Encoder(path, pattern))
 
     def encode(batches):

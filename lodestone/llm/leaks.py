@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.pairs import word_hashes
-from lodestone.session import small
+from lodestone.session import cut, ship, small
 
 _WORDS = re.compile("[a-z0-9]+")
 _CASED = re.compile(r"[A-Za-z0-9]+")
@@ -64,12 +64,12 @@ def _slot_class(w: str, names: frozenset) -> str | None:
     return None
 
 
-def template_windows(df: DataFrame, key: str, text: str, window: int, names: list[str], keep: np.ndarray | None = None, common: frozenset | None = None, pattern: re.Pattern = _WORDS) -> DataFrame:
+def template_windows(df: DataFrame, key: str, text: str, window: int, names: list[str], keep: np.ndarray | None = None, common: frozenset | None = None, pattern: re.Pattern = _WORDS, literals: int = 0) -> DataFrame:
     """(k, th, eh, words, version, at): template hash, exact hash and words of each window of ``window`` words of each text,
     with a hash of the text and the window's first word.
 
     With ``keep`` (a bitmap over template hashes) only windows whose bit is set leave the scan's task. With ``common``,
-    capitalised words outside of it are names too.
+    capitalised words outside of it are names too. Windows with fewer than ``literals`` words that are no slots are left out.
     """
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast((frozenset(names), keep, common))
@@ -84,6 +84,7 @@ def template_windows(df: DataFrame, key: str, text: str, window: int, names: lis
         known, bitmap, common = shared.value
         exact: dict[str, int] = {}
         slots: dict[str, int] = {}
+        typed_words: set[str] = set()
         for b in batches:
             ks, th, eh, ws, vs, ats = [], [], [], [], [], []
             for k, t, version in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
@@ -96,6 +97,8 @@ def template_windows(df: DataFrame, key: str, text: str, window: int, names: lis
                 for x in set(y).difference(slots):
                     c = _slot_class(x, known)
                     slots[x] = int(word_hashes([c or x], {})[0])
+                    if c or x[:1] == "\0":
+                        typed_words.add(x)
                 e = word_hashes(w, exact)
                 p = np.fromiter(map(slots.__getitem__, y), np.uint64, len(y))
                 with np.errstate(over="ignore"):
@@ -108,11 +111,14 @@ def template_windows(df: DataFrame, key: str, text: str, window: int, names: lis
                 if bitmap is not None:
                     low = (hp & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     at = np.flatnonzero(bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                if literals and len(at):
+                    plain = np.concatenate([[0], np.cumsum(np.fromiter((x not in typed_words for x in y), np.int64, len(y)))])
+                    at = at[plain[at + window] - plain[at] >= literals]
                 for i in at.tolist():
                     ks.append(k), ws.append(" ".join(w[i : i + window])), vs.append(version), ats.append(i)
                 th.append(hp[at].view(np.int64)), eh.append(he[at].view(np.int64))
             if len(exact) > 1_000_000:
-                exact.clear(), slots.clear()
+                exact.clear(), slots.clear(), typed_words.clear()
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ks, b.schema.field(0).type), pa.array(cat(th)), pa.array(cat(eh)), pa.array(ws, pa.string()), pa.array(vs, pa.int64()), pa.array(ats, pa.int32())], names=["k", "th", "eh", "words", "version", "at"])
 
@@ -137,51 +143,67 @@ def window_filter(windows: DataFrame) -> np.ndarray:
     return total
 
 
-def template_matches(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 12) -> DataFrame:
-    """(doc, item, exact, doc_words, item_words) of every window of a document whose template occurs in an item.
+def template_copies(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 12) -> DataFrame:
+    """(doc, item, doc_words, item_words) of every window of a document whose template occurs in an item with equal slots.
 
     Texts with fewer than ``window`` words, null and empty texts match nothing. Only windows that pass a fixed-size
     filter of item templates leave the scan of the documents.
     """
+    ship(docs.sparkSession)
     names = name_words(items, text)
     item_windows = template_windows(items, item_key, text, window, names).drop("version", "at").distinct()
     hits = template_windows(docs, doc_key, text, window, names, window_filter(item_windows))
     right = item_windows.select("th", F.col("k").alias("item"), F.col("eh").alias("item_eh"), F.col("words").alias("item_words"))
-    return hits.join(small(right), "th").select(F.col("k").alias("doc"), "item", (F.col("eh") == F.col("item_eh")).alias("exact"), F.col("words").alias("doc_words"), "item_words")
+    # a template of placeholders alone may be frequent, so copies are joined by their words' hash too
+    return hits.join(small(right), (hits["th"] == right["th"]) & (F.col("eh") == F.col("item_eh"))).select(F.col("k").alias("doc"), "item", F.col("words").alias("doc_words"), "item_words")
 
 
 def leaked_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 12) -> DataFrame:
     """Distinct (``doc_key``, ``item_key``) of documents and items that share at least ``window`` consecutive words."""
-    m = template_matches(docs, doc_key, items, item_key, text, window)
-    return m.where("exact").select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
+    m = template_copies(docs, doc_key, items, item_key, text, window)
+    return m.where("doc_words = item_words").select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
+
+
+#: Words that are no slots which a window needs to be a template; a row of numbers fits any other.
+LEAST_LITERALS = 4
 
 
 def template_runs(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str, window: int, names: list[str], common: frozenset, pattern: re.Pattern) -> DataFrame:
     """(doc, item, run columns, exact, doc_words, item_words) of the matched windows; a run is an occurrence: windows of one
-    text of the document and one of the item that follow each other in both."""
-    found = template_windows(items, item_key, text, window, names, None, common, pattern).distinct()
-    hits = template_windows(docs, doc_key, text, window, names, window_filter(found), common, pattern)
+    text of the document and one of the item that follow each other in both.
+
+    Windows that copy some item word for word are explained by it and count for other items no more.
+    """
+    ship(docs.sparkSession)
+    found = template_windows(items, item_key, text, window, names, None, common, pattern, LEAST_LITERALS).distinct()
+    hits = template_windows(docs, doc_key, text, window, names, window_filter(found), common, pattern, LEAST_LITERALS)
     right = found.select("th", F.col("k").alias("item"), F.col("eh").alias("item_eh"), F.col("words").alias("item_words"), F.col("version").alias("item_version"), F.col("at").alias("item_at"))
     m = hits.join(small(right), "th").select(F.col("k").alias("doc"), "item", "version", "item_version", (F.col("at") - F.col("item_at")).alias("shift"), "at", (F.col("eh") == F.col("item_eh")).alias("exact"), F.col("words").alias("doc_words"), "item_words").distinct()
+    m = cut(m)
+    copies = m.where("exact").select("doc", "version", "at").distinct()
+    m = m.where("exact").unionByName(m.where("not exact").join(copies, ["doc", "version", "at"], "left_anti"))
     run = Window.partitionBy("doc", "item", "version", "item_version", "shift").orderBy("at")
-    return m.withColumn("run", F.col("at") - F.row_number().over(run)).where("not exact").drop("exact", "at")
+    return m.withColumn("run", F.col("at") - F.row_number().over(run)).drop("at")
 
 
 def reparameterised_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 12) -> DataFrame:
     """Documents that hold an item's template with other slot values, consistently: in an occurrence each slot value of the
-    item that is replaced is replaced by one and the same value. Columns doc, item, slots, windows, the latter two of the
-    longest such occurrence.
+    item that is replaced is replaced everywhere by one and the same value, and no value stands for two of the item's.
+    Columns doc, item, slots (values replaced), windows, the latter two of the longest such occurrence.
 
     Names are known from the items, or in documents as capitalised words that no item has. A decimal is one number; it is
-    also read as two, as runs of ``window`` words count it so.
+    also read as two, as runs of ``window`` words count it so. Windows need ``LEAST_LITERALS`` words that are no slots.
     """
     names, known = name_words(items, text), known_words(items, text)
     parts = [template_runs(docs, doc_key, items, item_key, text, window, names, known, p).withColumn("reading", F.lit(n)) for n, p in enumerate((_WORDS, _DECIMAL_WORDS))]
-    m = parts[0].unionByName(parts[1])
     key = ["doc", "item", "version", "item_version", "shift", "run", "reading"]
-    z = m.withColumn("s", F.explode(F.filter(F.arrays_zip(F.split("item_words", " ").alias("i"), F.split("doc_words", " ").alias("d")), lambda x: x["i"] != x["d"])))
-    slots = z.groupBy(*key, "s.i").agg(F.count_distinct("s.d").alias("values"))
-    ok = slots.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.max("values").alias("most")).where("most = 1")
-    n = m.groupBy(*key).agg(F.count(F.lit(1)).alias("windows"))
+    m = parts[0].unionByName(parts[1])
+    n = m.groupBy(*key).agg(F.count(F.lit(1)).alias("windows"), F.count_if(~F.col("exact")).alias("changed")).where("changed > 0")
+    pairs = F.array_distinct(F.arrays_zip(F.split("item_words", " ").alias("i"), F.split("doc_words", " ").alias("d")))
+    z = m.join(n, key, "left_semi").select(*key, F.explode(pairs).alias("s")).select(*key, "s.i", "s.d").distinct()
+    # of the words on either side only those that were replaced, or that replace, must have one partner
+    sides = z.withColumn("side", F.explode(F.array(F.struct(F.lit("i").alias("of"), F.col("i").alias("w")), F.struct(F.lit("d").alias("of"), F.col("d").alias("w")))))
+    words = sides.groupBy(*key, "side").agg(F.count(F.lit(1)).alias("partners"), F.bool_or(F.col("i") != F.col("d")).alias("replaced")).where("replaced")
+    ok = words.groupBy(*key).agg(F.count_if(F.col("side.of") == "i").alias("slots"), F.max("partners").alias("most")).where("most = 1")
     best = ok.join(n, key).groupBy("doc", "item").agg(F.max(F.struct("windows", "slots")).alias("b"))
     return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "b.slots", "b.windows")

@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits: an exact set-similarity join over word n-grams.
 
-The n-gram sets are ordered globally, rarest first, and stored as a prefix tree in flat form: a posting of the tree is
-(n-gram, set, depth, set size). Sets that share a node within the part of the tree that a partner must reach are
+The n-gram sets are ordered globally, rarest first, and their prefixes are stored flat, as postings: a posting is
+(n-gram, set, depth, set size), where a prefix tree would hold a node per shared path. Sets that share an n-gram within the part that a partner must reach are
 compared; the remaining-length bound prunes by depth and size, and a parity bitmap of each set bounds the symmetric
 difference before anything is verified. Only classes of equal sets take part, and every surviving pair is verified on
 the full sets.
@@ -9,8 +9,8 @@ the full sets.
 
 from __future__ import annotations
 
-import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, ship
 
 _WORDS = re.compile("[a-z0-9]+")
 #: Counters of the frequency sketch that defines the global order; one byte each, so 4 MB whatever the corpus.
@@ -130,7 +130,7 @@ def packed_sketch(counts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _postings(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
+def _postings(reps: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
     shared = reps.sparkSession.sparkContext.broadcast(sketch)
 
     def post(batches):
@@ -145,7 +145,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
                 g = flat[off[i] : off[i + 1]]
                 c = codes[g & (len(codes) - 1)]
                 order = np.lexsort((g, c))
-                p = len(g) - math.ceil(t * len(g)) + 1
+                p = len(g) + t.numerator * -len(g) // t.denominator + 1
                 first = int((c == 1).sum())  # n-grams of one set only have no partner
                 use = np.arange(first, p)
                 if not len(use):
@@ -178,7 +178,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
     return reps.select("tbl", "id", "n", "grams", "b0", "b1", "b2", "b3").mapInArrow(post, "tbl string, gram long, lo int, hi int, block int, id long, n int, pos int, b0 long, b1 long, b2 long, b3 long")
 
 
-def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: float, most: int = 1_500_000):
+def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: Fraction, most: int = 1_500_000):
     """Candidate pairs within the runs [start, end) of rows of equal node, after the length and bitmap bounds."""
     n, pos, ids = df["n"].to_numpy().astype(np.int64), df["pos"].to_numpy().astype(np.int64), df["id"].to_numpy()
     bits = df[["b0", "b1", "b2", "b3"]].to_numpy().view(np.uint64)
@@ -187,8 +187,8 @@ def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: fl
     # size that its remaining length still allows are met
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, int)
     run = np.repeat(np.arange(len(starts), dtype=np.int64), ends - starts)
-    share = t / (1 + t)
-    reach = np.minimum(np.floor((n[rows] - pos[rows]) / share - n[rows] + 1e-6), np.floor(n[rows] / t + 1e-6)).astype(np.int64)
+    num, den = t.numerator, t.denominator
+    reach = np.minimum((n[rows] - pos[rows]) * (num + den) // num - n[rows], n[rows] * den // num)
     width = int(n.max(initial=0)) + 2
     last = np.searchsorted(run * width + n[rows], run * width + np.clip(reach, 0, width - 1), side="right")
     many = np.maximum(last - np.arange(len(rows)) - 1, 0)
@@ -203,8 +203,8 @@ def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: fl
         a = rows[a]
         begin = stop
         na, nb = n[a], n[b]
-        need = np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
-        ok = (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (np.minimum(na - pos[a], nb - pos[b]) >= need)
+        need = -(-num * (na + nb) // (num + den))
+        ok = (np.minimum(na, nb) * den >= num * np.maximum(na, nb)) & (np.minimum(na - pos[a], nb - pos[b]) >= need)
         a, b, need = a[ok], b[ok], need[ok]
         if len(a):
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
@@ -219,7 +219,7 @@ def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: fl
             yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), a
 
 
-def candidate_pairs(reps: DataFrame, t: float) -> DataFrame:
+def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
     """Distinct (tbl, a, b), a < b, of sets that may reach Jaccard similarity ``t``; none that does is missing."""
     sketch = frequency_sketch(reps)
     postings = _postings(reps, sketch, t)
@@ -243,7 +243,7 @@ def candidate_pairs(reps: DataFrame, t: float) -> DataFrame:
     return nodes.mapInPandas(join, "tbl string, a long, b long").distinct()
 
 
-def _emit(f: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: float):
+def _emit(f: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: Fraction):
     several = ends - starts > 1
     tbl = f["tbl"].to_numpy()
     for a, b, row in _pairs_of_runs(f, starts[several], ends[several], t):
@@ -257,23 +257,27 @@ def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least:
     ``members``: tbl, id, rep - the class of rows with the same set of word ``size``-grams, named by its smallest id.
     ``links``: tbl, a, b, jaccard - every pair of different classes of one table with Jaccard similarity of at least
     ``threshold``. Null, empty and short texts (fewer than ``least`` distinct n-grams) are in neither; a row given twice
-    counts once. No pair is lost: the bounds that prune are exact and every pair that remains is verified.
+    counts once. No pair is lost: the threshold is the fraction that ``threshold`` writes, the bounds that prune are computed
+    in integers, and every pair that remains is verified.
     """
+    ship(df.sparkSession)
+    t = Fraction(str(threshold)).limit_denominator(10_000)
+    if not 0 < t <= 1:
+        raise ValueError("needs a threshold above 0 and at most 1")
     sets = shingle_sets(df.select("tbl", "id", "t").where("t is not null and id is not null"), size, least)
     sets = cut(sets)
     # rows of one signature hold the same set, so any of them stands for the class; the map side already keeps one
     same = [F.first(c).alias(c) for c in ("n", "grams", "b0", "b1", "b2", "b3")]
     reps = cut(sets.groupBy("tbl", "sig").agg(F.min("id").alias("id"), *same))
     members = sets.select("tbl", "sig", "id").join(reps.select("tbl", "sig", F.col("id").alias("rep")), ["tbl", "sig"]).select("tbl", "id", "rep").distinct()
-    cand = cut(candidate_pairs(reps, threshold))
+    cand = cut(candidate_pairs(reps, t))
     used = cand.select("tbl", F.col("a").alias("id")).union(cand.select("tbl", F.col("b").alias("id"))).distinct()
     slim = reps.select("tbl", "id", "grams").join(used, ["tbl", "id"], "left_semi")
     pairs = cand.join(slim.select("tbl", F.col("id").alias("a"), F.col("grams").alias("ga")), ["tbl", "a"]).join(slim.select("tbl", F.col("id").alias("b"), F.col("grams").alias("gb")), ["tbl", "b"])
     common = F.size(F.array_intersect("ga", "gb"))
     pairs = pairs.withColumn("common", common).withColumn("jaccard", F.col("common") / (F.size("ga") + F.size("gb") - F.col("common")))
-    # compared as integers, so that a similarity of exactly the threshold is not lost to rounding
-    num, den = (threshold).as_integer_ratio() if threshold not in (0.6, 0.8) else (round(threshold * 10), 10)
-    links = pairs.where(F.col("common") * den >= (F.size("ga") + F.size("gb") - F.col("common")) * num).select("tbl", "a", "b", "jaccard")
+    union = F.size("ga").cast("long") + F.size("gb") - F.col("common")
+    links = pairs.where(F.col("common").cast("long") * t.denominator >= union * t.numerator).select("tbl", "a", "b", "jaccard")
     return members, links
 
 

@@ -12,7 +12,7 @@ from lodestone.llm.leaks import leaked_items, reparameterised_items
 from lodestone.llm.pairs import expand_pairs, similar_classes
 from lodestone.llm.scans import repair_scans, scan_repairs
 from lodestone.llm.split import split_oversized
-from lodestone.llm.visual import add_visual_form, look_alike_pairs
+from lodestone.llm.visual import add_visual_form, look_alike_pairs, visual_texts
 from lodestone.session import small, table
 
 
@@ -53,13 +53,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("tbl").alias("table_name"), "id_a", "id_b")
 
 
-def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record (five-word n-grams, similarity 0.8): its class of equal sets and its number of linked classes."""
-    members, links = similar_classes(_texts(spark, sf_dir))
+def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select("tbl", F.col("a").alias("rep")).unionByName(links.select("tbl", F.col("b").alias("rep"))).groupBy("tbl", "rep").agg(F.count(F.lit(1)).alias("links"))
     return members.join(ends, ["tbl", "rep"], "left").select(F.col("tbl").alias("table_name"), "id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record (five-word n-grams, similarity 0.8): its class of equal sets and its number of linked classes."""
+    return _classes(*similar_classes(_texts(spark, sf_dir)))
+
+
+def p3_version_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class form of p3_found: three-word n-grams, similarity 0.6, sets of at least 20."""
+    return _classes(*similar_classes(_texts(spark, sf_dir), size=3, threshold=0.6, least=20))
+
+
 _FIELDS = {"title": ("title", usable_title), "doi": ("doi_guess", usable_doi), "year": ("year_guess", usable_year), "abstract": ("abstract", usable_abstract)}
 
 
@@ -140,5 +148,10 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_visual_form(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.col("form").alias("class_id"), "visible")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_classes, p5_found, p5_records, p6_found, p6_repaired, p7_found, p7_cohesion, p8_ids, p9_found, p9_reparameterised, p10_found, p10_classes)}
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document in its one consistent form."""
+    return visual_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_classes, p3_version_classes, p5_found, p5_records, p6_found, p6_repaired, p7_found, p7_cohesion, p8_ids, p9_found, p9_reparameterised, p10_found, p10_classes, p10_texts)}
 ORACLE: dict[str, str] = {}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 _SENTENCE = re.compile(r"(?s).*[.!?][ \t\r\n]")
 _SPACE = re.compile(r"(?s).*[ \t\r\n]")
 _WORD = re.compile(r"[^\W_]+")
@@ -39,22 +42,48 @@ def latest_boundary(t: str, lo: int, hi: int) -> int:
     return hi
 
 
-def cohesion_boundary(t: str, lo: int, hi: int, block: int = 200) -> int:
-    """The cut in (lo, hi] at the deepest valley of lexical cohesion; without sentence ends as ``latest_boundary``.
+def valley_depths(sims: list[float]) -> list[float]:
+    """How far each similarity lies below the peaks next to it: from a place the peak on a side is reached by climbing as
+    long as similarity does not fall."""
+    out = []
+    for i, s in enumerate(sims):
+        left = right = s
+        for x in reversed(sims[:i]):
+            if x < left:
+                break
+            left = x
+        for x in sims[i + 1 :]:
+            if x < right:
+                break
+            right = x
+        out.append(left + right - 2 * s)
+    return out
+
+
+def cohesion_boundary(t: str, lo: int, hi: int, block: int = 40) -> int:
+    """The cut in (lo, hi] at the deepest valley of lexical cohesion; without two sentence ends as ``latest_boundary``.
 
-    Cohesion at a sentence end is the cosine of the word counts of the ``block`` characters before and after it; the
-    depth of a valley is how far it lies below the peaks on both sides. Ties go to the later cut.
+    Cohesion at a sentence end is the cosine of the counts of the ``block`` words before and after it; blocks may reach
+    beyond the window. Depth is measured from the peaks next to a valley, also those outside the window by one sentence
+    end. Ties go to the later cut.
     """
-    cuts = [lo + 1 + i for i in range(hi - lo) if t[lo + i] in " \t\r\n" and t[lo + i - 1] in ".!?\n"]
-    if len(cuts) < 2:
+    reach = 12 * block
+    begin, stop = max(1, lo - reach), min(len(t), hi + reach)
+    ends = [i + 1 for i in range(begin, stop) if t[i] in " \t\r\n" and t[i - 1] in ".!?\n"]
+    inside = [e for e in ends if lo < e <= hi]
+    if len(inside) < 2:
         return latest_boundary(t, lo, hi)
+    near = [e for e in ends if e <= lo][-1:] + inside + [e for e in ends if e > hi][:1]
+    base = max(0, near[0] - reach)
+    spans = [(m.start() + base, m.group()) for m in _WORD.finditer(t[base : near[-1] + reach].lower())]
+    starts, words = [x for x, _ in spans], [w for _, w in spans]
     sims = []
-    for e in cuts:
-        a, b = Counter(_WORD.findall(t[max(0, e - block) : e].lower())), Counter(_WORD.findall(t[e : e + block].lower()))
+    for e in near:
+        i = bisect_left(starts, e)
+        a, b = Counter(words[max(0, i - block) : i]), Counter(words[i : i + block])
         norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
         sims.append(sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0)
-    depth = [max(sims[: i + 1]) + max(sims[i:]) - 2 * s for i, s in enumerate(sims)]
-    return max(zip(depth, cuts, strict=True))[1]
+    return max((d, e) for d, e in zip(valley_depths(sims), near, strict=True) if lo < e <= hi)[1]
 
 
 def pieces(t: str, limit: int, overlap: int, least: int, boundary=latest_boundary) -> list[tuple[int, int]]:
@@ -88,6 +117,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1000, overl
                     keys.append(k), no.append(i), start.append(s), end.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["k", "piece_no", "start_char", "end_char"])
 
+    ship(df.sparkSession)
     src = df.where(F.length(text) > limit).select(F.col(key).alias("k"), F.col(text).alias("t"))
     out = src.mapInArrow(cut, f"k {dict(src.dtypes)['k']}, piece_no int, start_char int, end_char int")
     return out.withColumnRenamed("k", key).distinct()

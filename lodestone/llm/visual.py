@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, ship
 
 #: Letters that look like a Latin letter, and the letters they look like, in the same order.
 LOOK_ALIKE = "АВЕКМНОРСТХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡ"
@@ -153,11 +153,24 @@ def add_visual_form(df: DataFrame, key: str, text: str, out: str = "form") -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), visual_form(b.column(1)).cast(pa.string())], names=["k", "t", "f"])
 
+    ship(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     formed = src.mapInArrow(forms, f"k {dict(src.dtypes)['k']}, t string, f string")
     return formed.select(F.col("k").alias(key), F.md5("t").alias("own"), F.md5("f").alias(out), F.coalesce(F.col("f").rlike(r"[^ \t\r\n]"), F.lit(False)).alias("visible"))
 
 
+def visual_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``text`` in its visual form; nulls stay null, repeated rows are kept, other columns are dropped."""
+    ship(df.sparkSession)
+
+    def forms(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), visual_form(b.column(1)).cast(pa.string())], names=["k", "t"])
+
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(forms, f"k {dict(src.dtypes)['k']}, t string").withColumnsRenamed({"k": key, "t": text})
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str, rows_per_task: int = 2000) -> DataFrame:
     """Pairs (``key``_a < ``key``_b) of rows whose texts differ but have the same visual form.
 

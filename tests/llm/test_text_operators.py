@@ -275,3 +275,82 @@ def test_token_distance_equals_the_plain_one():
     for _ in range(300):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
         assert consensus.token_distance(a, b) == plain(a, b)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.9, 1.0])
+def test_a_similarity_of_exactly_the_threshold_counts(spark, threshold):
+    size = 10
+    common = round(threshold * size)
+    # sets of single words: common / size is the threshold, as is 1 for equal sets
+    a = [f"w{i}" for i in range(size)]
+    b = a[:common]
+    df = spark.createDataFrame([("x", 1, " ".join(a)), ("x", 2, " ".join(b)), ("x", 3, " ".join([*a[: common - 1], "z"]))], "tbl string, id long, t string")
+    got = {(r["id_a"], r["id_b"]) for r in pairs.expand_pairs(*pairs.similar_classes(df, 1, threshold, 1)).collect()}
+    assert (1, 2) in got and (1, 3) not in got
+
+
+def test_sets_with_thousands_of_common_elements(spark):
+    a = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([("x", 1, a), ("x", 2, a + " more")], "tbl string, id long, t string")
+    assert pairs.expand_pairs(*pairs.similar_classes(df, 1, 0.9, 1)).count() == 1
+
+
+def test_valleys_lie_between_their_own_peaks():
+    assert split.valley_depths([0.5, 0.1, 0.4, 0.3, 0.9]) == pytest.approx([0.0, 0.7, 0.0, 0.7, 0.0])
+
+
+def test_cohesion_finds_planted_topics():
+    rng = random.Random(11)
+    topics = ["laser beam melt pool vapour keyhole spatter".split(), "grain texture twin boundary dislocation orientation phase".split()]
+    right = 0
+    for _ in range(40):
+        first = [rng.choice(topics[0]) for _ in range(110)]
+        second = [rng.choice(topics[1]) for _ in range(110)]
+        say = lambda w: "".join(" ".join(w[i : i + 9]) + ". " for i in range(0, len(w), 9))
+        t = say(first) + say(second)
+        border = len(say(first))
+        (_, e), *_ = split.pieces(t, 1000, 100, 500, split.cohesion_boundary)
+        right += abs(e - border) <= 60 or not 500 < border <= 1000
+    assert right >= 36
+
+
+def test_planted_reparameterised_items(spark):
+    """Precision and recall on items whose numbers, names and units were replaced, beside copies and inconsistent ones."""
+    rng = random.Random(6)
+    names = ["Hestralloy", "Quorvium", "Nimbrax", "Tungavar", "Vitrumax"]
+
+    def item(i):
+        w = ["".join(rng.choices("bdfgklmnprtv", k=6)) for _ in range(6)]
+        return f"A {w[0]} plate of {{n}} was {w[1]} for {{a}} seconds and {w[2]} below a {{b}} watt beam, then {w[3]} over {{a}} seconds while {{n}} was {w[4]} and {w[5]} case{chr(97 + i % 26)} again"
+
+    items, docs, want = [], [], set()
+    for i in range(30):
+        t = item(i)
+        given = {"n": rng.choice(names), "a": 11 + i, "b": 500 + i}
+        items.append((i, t.format(**given)))
+        kind = i % 3
+        other = {"n": rng.choice([x for x in names if x != given["n"]]), "a": 211 + i, "b": 900 + i}
+        if kind == 0:
+            docs.append((i, "Before. " + t.format(**other) + " After."))
+            want.add((i, i))
+        elif kind == 1:
+            docs.append((i, t.format(**given)))
+        else:  # replaced in one place and kept in another
+            docs.append((i, t.replace("{a}", str(given["a"]), 1).format(**(given | {"a": other["a"]}))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.reparameterised_items(d, "doc_id", q, "item_id").collect()}
+    assert got == want
+
+
+def test_texts_in_their_visual_form(spark):
+    df = spark.createDataFrame([(1, "ﬁne café"), (2, None), (3, "")], "k long, t string")
+    assert {tuple(r) for r in visual.visual_texts(df, "k", "t").collect()} == {(1, "fine café"), (2, None), (3, "")}
+
+
+def test_rows_of_numbers_are_no_template(spark):
+    d = spark.createDataFrame([(1, " ".join(map(str, range(40))))], "doc_id long, text string")
+    q = spark.createDataFrame([(7, " ".join(map(str, range(50, 90))))], "item_id long, text string")
+    assert leaks.reparameterised_items(d, "doc_id", q, "item_id").count() == 0
+    q = spark.createDataFrame([(7, " ".join(map(str, range(20, 90))))], "item_id long, text string")
+    assert leaks.leaked_items(d, "doc_id", q, "item_id").count() == 1
