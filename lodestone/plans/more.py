@@ -421,7 +421,7 @@ def p67(spark, d):
 def j5(spark, d):
     from lodestone.operators.facts import document_means
 
-    m = document_means(facts(spark, d).where("doc is not null"), "q", "doc", "value").where("mean > 0")
+    m = document_means(facts(spark, d, "item_id", "q", "doc", "value").where("doc is not null"), "q", "doc", "value").where("mean > 0")
     return m.groupBy("q").agg((F.max("mean") / F.min("mean") > 2).alias("contradicting"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
 
 

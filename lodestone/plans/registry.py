@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class Catalogue:
     """Queries of one module; ``add(name, sql)`` decorates a function of (spark, sf_dir)."""
@@ -20,3 +23,20 @@ class Catalogue:
             return f
 
         return keep
+
+
+def sig(c: Column | str, digits: int = 7) -> Column:
+    """Value rounded to significant digits: sums differ in the last ones with the order of summation.
+
+    Only positive powers of ten are used, which are exact in any engine.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    e = F.floor(F.log10(F.abs(c)))
+    up, down = F.pow(F.lit(10.0), e), F.pow(F.lit(10.0), -e)
+    return F.when(c == 0, F.lit(0.0)).when(e >= 0, F.round(c / up, digits - 1) * up).otherwise(F.round(c * down, digits - 1) / down)
+
+
+def sig_sql(x: str, digits: int = 7) -> str:
+    """``sig`` in SQL."""
+    e = f"floor(log10(abs({x})))"
+    return f"case when ({x}) = 0 then 0.0 when {e} >= 0 then round(({x}) / pow(10.0, {e}), {digits - 1}) * pow(10.0, {e}) else round(({x}) * pow(10.0, -{e}), {digits - 1}) / pow(10.0, -{e}) end"
