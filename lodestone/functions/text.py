@@ -16,11 +16,11 @@ def truncated(c: Column, limit: int, marker: str = " [cut]") -> Column:
 
 
 def pdf_date_iso(c: Column) -> Column:
-    """``D:YYYYMMDDHHmmSS`` with absent parts read as 01, in ISO form; anything else unchanged."""
+    """``D:YYYYMMDDHHmmSS`` with absent parts read as 01, in ISO form; anything else, and impossible dates, unchanged."""
     p = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, p, i), F.lit("")), F.lit("01"))
     iso = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), part(6))
-    return F.when(c.rlike(p), iso).otherwise(c)
+    return F.when(c.rlike(p) & iso.try_cast("timestamp").isNotNull(), iso).otherwise(c)
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
@@ -36,14 +36,31 @@ def doi_guess(c: Column) -> Column:
     return first_match(c, r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+")
 
 
-def pattern_hits(c: Column, patterns: list[str]) -> Column:
-    """How often any of the patterns occurs."""
-    out = F.lit(0)
-    for p in patterns:
-        out = out + F.coalesce(F.regexp_count(F.lower(c), F.lit(p)), F.lit(0))
+def word_hits(c: Column, words: list[str]) -> Column:
+    """How often the words occur, without regard to case; each word's occurrences count."""
+    out, low = F.lit(0), F.lower(c)
+    for w in words:
+        # what is missing once all occurrences are taken out
+        out = out + F.coalesce(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int"), F.lit(0))
     return out
 
 
+def rule_class(c: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Class of the first of many rules one of whose words is contained in the lower-cased text, else null."""
+    low = F.lower(c)
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[F.lit(w) for w in ws]).alias("w")) for n, ws in rules])
+    return F.get(F.filter(table, lambda r: F.exists(r["w"], lambda w: low.contains(w))), F.lit(0))["n"]
+
+
+def matches(c: Column, pattern: str, groups: int) -> Column:
+    """array<struct<start, g0, g1, ...>> of all matches of a pattern with their one-based starts."""
+    found = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), i).alias(f"g{i}") for i in range(groups + 1)])
+    pieces = F.split(c, pattern, -1)
+    lengths = F.transform(found, lambda x, i: F.struct(F.length(F.get(pieces, i)).alias("a"), F.length(x["g0"]).alias("b")))
+    ends = F.aggregate(lengths, F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), lambda acc, x: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["end"] + x["a"]).alias("start"), (F.element_at(acc, -1)["end"] + x["a"] + x["b"]).alias("end")))))
+    return F.transform(found, lambda x, i: F.struct((F.get(ends, i + 1)["start"] + 1).alias("start"), *[x[f"g{g}"].alias(f"g{g}") for g in range(groups + 1)]))
+
+
 def contained(c: Column, words: list[str]) -> Column:
     """How many of the words are contained, each once."""
     out = F.lit(0)
@@ -135,3 +152,12 @@ def extractive_summary(c: Column, words: list[str], top: int = 3, limit: int = 2
 def named_or_unknown(c: Column) -> Column:
     """Null and empty as 'Unknown'."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown"))
+
+
+def tagged(found: dict[str, Column], name: str, value: str, of=lambda x: x) -> Column:
+    """One array of structs (name, value) of the elements of several named arrays."""
+
+    def tag(label: str, c: Column) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(label).alias(name), of(x).alias(value)))
+
+    return F.flatten(F.array(*[tag(label, c) for label, c in found.items()]))

@@ -305,7 +305,7 @@ METRICS_SQL = " union all ".join(f"select paper_id, filename, '{n}' as metric, u
 
 def metrics(spark, d):
     """(paper_id, filename, metric, value) of the numbers that abstracts state."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("abstract", F.lit(p), 1), lambda v, n=n: F.struct(F.lit(n).alias("metric"), v.try_cast("double").alias("value"))) for n, p in METRICS.items()]))
+    found = tx.tagged({n: F.regexp_extract_all("abstract", F.lit(p), 1) for n, p in METRICS.items()}, "metric", "value", lambda v: v.try_cast("double"))
     return table(spark, d, "papers", "paper_id", "filename", "abstract").where("abstract is not null").select("paper_id", "filename", F.explode(found).alias("m")).select("paper_id", "filename", "m.metric", "m.value")
 
 

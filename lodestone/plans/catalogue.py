@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ["extraction", "aggregates", "relations", "more", "dealt"]
+_MODULES = ["extraction", "aggregates", "scalars", "relations", "more", "dealt"]
 
 
 def _catalogues() -> list:

@@ -104,78 +104,6 @@ def k6(spark, d):
     return f.select(F.concat_ws(" | ", "m", "n").alias("line"))
 
 
-@add("x1_hashes", "select doc_id, sha256(text) as sha, md5(text) as md, substring(sha256(substring(text, 1, 1024)), 1, 16) as short from documents where text is not null")
-def p1(spark, d):
-    x = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return x.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"), F.substring(F.sha2(F.substring("text", 1, 1024), 256), 1, 16).alias("short"))
-
-
-@add("x1_long_hashes")
-def p1_long(spark, d):
-    """Hashes as in x1_hashes, but the short one of the first 1 MiB, as in the reference, where that SQL takes 1024 characters."""
-    x = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    head = F.substring(F.encode("text", "UTF-8"), 1, 1 << 20)
-    return x.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"), F.substring(F.sha2(head, 256), 1, 16).alias("short"))
-
-
-_PDF = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
-_part = lambda i: f"coalesce(nullif(regexp_extract(creation_date, '{_PDF}', {i}), ''), '01')"
-
-
-@add("x2_pdf_date_iso", f"select paper_id, case when regexp_matches(creation_date, '{_PDF}') then {_part(1)} || '-' || {_part(2)} || '-' || {_part(3)} || 'T' || {_part(4)} || ':' || {_part(5)} || ':' || {_part(6)} else creation_date end as iso from papers")
-def p2(spark, d):
-    return table(spark, d, "papers", "paper_id", "creation_date").select("paper_id", tx.pdf_date_iso(F.col("creation_date")).alias("iso"))
-
-
-@add("x3_year_guess", "select paper_id, nullif(regexp_extract(creation_date, '(?:19|20)\\d{2}'), '') as year from papers")
-def p3(spark, d):
-    return table(spark, d, "papers", "paper_id", "creation_date").select("paper_id", tx.year_guess(F.col("creation_date")).alias("year"))
-
-
-@add("x4_doi_guess", "select paper_id, nullif(regexp_extract(doi_guess, '(?i)10\\.\\d{4,9}/[-._;()/:A-Z0-9]+'), '') as doi from papers")
-def p4(spark, d):
-    return table(spark, d, "papers", "paper_id", "doi_guess").select("paper_id", tx.doi_guess(F.col("doi_guess")).alias("doi"))
-
-
-@add("x5_abstract_extraction", "select page_id, coalesce(nullif(regexp_extract(text, '(?s)^(.{1,900}?)\\n\\s*\\n', 1), ''), substring(text, 1, 500)) as abstract from pages_text")
-def p5(spark, d):
-    t = F.col("text")
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.coalesce(tx.first_match(t, r"(?s)^(.{1,900}?)\n\s*\n", 1), F.substring(t, 1, 500)).alias("abstract"))
-
-
-@add("x5_abstracts")
-def p5_all(spark, d):
-    """The reference's rule: up to 2000 characters after the word abstract, ended by a blank line, a first section or the
-    keywords; else the first 500 characters. x5_abstract_extraction and its SQL look 900 characters far, for blank lines."""
-    t = F.col("text")
-    found = tx.first_match(t, r"(?i)abstract[:\s]*([\s\S]{1,2000}?)(?=\n\n|\n\s*(?:1\.|introduction|keywords))", 1)
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", strip(F.coalesce(found, F.substring(t, 1, 500))).alias("abstract"))
-
-
-@add("x6_topic_counts", "select * from (" + " union all ".join(f"select page_id, '{n}' as topic, {_hits('text', p)} as n from pages_text" for n, p in vo.TOPICS.items()) + ") where n > 0")
-def p6(spark, d):
-    pages = table(spark, d, "pages_text", "page_id", "text")
-    wide = pages.select("page_id", *[tx.pattern_hits(F.col("text"), p).alias(n) for n, p in vo.TOPICS.items()])
-    return wide.unpivot("page_id", list(vo.TOPICS), "topic", "n").where("n > 0")
-
-
-@add("x7_quantity_regex_bank", "select page_id, q, try_cast(v as double) as value from (select page_id, 'power' as q, unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?) W\\b', 1)) as v from pages_text union all select page_id, 'strength', unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?) MPa\\b', 1)) from pages_text)")
-def p7(spark, d):
-    pages = table(spark, d, "pages_text", "page_id", "text")
-    bank = {"power": r"([0-9]+(?:\.[0-9]+)?) W\b", "strength": r"([0-9]+(?:\.[0-9]+)?) MPa\b"}
-
-    def tagged(q: str, p: str):
-        return F.transform(F.regexp_extract_all("text", F.lit(p), 1), lambda v: F.struct(F.lit(q).alias("q"), v.try_cast("double").alias("value")))
-
-    found = F.flatten(F.array(*[tagged(q, p) for q, p in bank.items()]))
-    return pages.where("text is not null").select("page_id", F.explode(found).alias("x")).select("page_id", "x.q", "x.value")
-
-
-@add("x8_alloy_names", "select distinct page_id, a from (select page_id, unnest(regexp_extract_all(text, '(?:[A-Z][a-z]?[0-9]+){2,}')) as a from pages_text) where length(a) > 2")
-def p8(spark, d):
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:[A-Z][a-z]?[0-9]+){2,}"), 0))
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.filter(names, lambda x: F.length(x) > 2)).alias("a"))
 
 
 @add("x9_process_flags", "select page_id, concat_ws(',', " + ", ".join(f"case when {_contained('text', w)} > 0 then '{n}' end" for n, w in vo.PROCESSES.items()) + ") as flags from pages_text")
@@ -186,12 +114,6 @@ def p9(spark, d):
 _NU = r"([0-9]+(?:\.[0-9]+)?) (mm/s|J/mm3|MPa|kHz|nm|W|K|%|HV)"
 
 
-@add("x10_number_unit_candidates", f"select page_id, v, u from (select page_id, unnest(regexp_extract_all(text, '{_NU}', 1)) as v, unnest(regexp_extract_all(text, '{_NU}', 2)) as u from pages_text)")
-def p10(spark, d):
-    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(_NU), 1).alias("v"), F.regexp_extract_all("text", F.lit(_NU), 2).alias("u"))
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(zipped).alias("z")).select("page_id", "z.v", "z.u")
-
-
 _NUM = "try_cast(regexp_extract(replace(regexp_replace(regexp_replace(trim(value), '^[~<>≈±=]+\\s*', ''), '\\s*[x×]\\s*10\\^?', 'e', 'g'), ',', ''), '^(-?[0-9]+(?:\\.[0-9]+)?(?:e-?[0-9]+)?)', 1) as double)"
 
 
@@ -200,16 +122,6 @@ def p11(spark, d):
     return table(spark, d, "alloy_properties", "property_id", "value").select("property_id", tx.safe_number(F.col("value")).alias("number"))
 
 
-_CASCADE = f"case when parameter_name is not null and ({_case('parameter_name', vo.QUANTITY_RULES, '?')}) <> '?' then {_case('parameter_name', vo.QUANTITY_RULES, '?')} when context is not null and ({_case('context', vo.QUANTITY_RULES, '?')}) <> '?' then {_case('context', vo.QUANTITY_RULES, '?')} " + " ".join("when unit in (" + ", ".join(f"'{u}'" for u in us) + f") then '{n}'" for n, us in vo.UNIT_RULES) + " else 'unknown' end"
-
-
-@add("x12_quantity_cascade", f"select item_id, {_CASCADE} as quantity from facts")
-def p12(spark, d):
-    by = lambda c: F.nullif(F.when(F.col(c).isNotNull(), tx.first_class(F.col(c), vo.QUANTITY_RULES, "?")), F.lit("?"))
-    unit = F.lit("unknown")
-    for n, us in reversed(vo.UNIT_RULES):
-        unit = F.when(F.col("unit").isin(us), n).otherwise(unit)
-    return table(spark, d, "facts", "item_id", "parameter_name", "context", "unit").select("item_id", F.coalesce(by("parameter_name"), by("context"), unit).alias("quantity"))
 
 
 @add("x13_quantity_labels", "select item_id, replace(physical_quantity, '_', ' ') as label from facts where physical_quantity in (select physical_quantity from quantity_units)")
@@ -218,95 +130,11 @@ def p13(spark, d):
     return table(spark, d, "facts", "item_id", "physical_quantity").join(small(dim), "physical_quantity").select("item_id", "label")
 
 
-_LO_HI = {q: r for q, r in vo.RANGES.items()}
-_CAND = " union all ".join(f"select item_id, '{q}' as q, {i} as pri, 0.35 * coalesce((unit in ({', '.join(f"'{u}'" for u in dict(vo.UNIT_RULES).get(q, ['?']))}))::int, 0) + 0.20 * least({_contained('context', dict(vo.QUANTITY_RULES)[q])} / {max(0.3 * len(dict(vo.QUANTITY_RULES)[q]), 1.0)}, 1.0) + 0.15 * case when value between {lo} and {hi} then 1.0 else exp(-0.5 * pow((value - {(lo + hi) / 2}) / {(hi - lo) / 2}, 2)) end as score from facts where value is not null" for i, (q, (lo, hi)) in enumerate(_LO_HI.items()))
 
 
-@add("x14_weighted_classify", f"select item_id, q, round(score, 6) as score from (select *, row_number() over (partition by item_id order by round(score, 9) desc, pri) as rn from (select distinct * from ({_CAND}))) where rn = 1")
-def p14(spark, d):
-    f = table(spark, d, "facts", "item_id", "unit", "context", "value").where("value is not null").distinct()
-    scores = []
-    for i, (q, (lo, hi)) in enumerate(_LO_HI.items()):
-        words = dict(vo.QUANTITY_RULES)[q]
-        score = 0.35 * F.coalesce(F.col("unit").isin(dict(vo.UNIT_RULES).get(q, ["?"])).cast("int"), F.lit(0)) + 0.20 * tx.keyword_score(F.col("context"), words) + 0.15 * tx.plausibility(F.col("value"), lo, hi)
-        scores.append(F.struct(F.round(-score, 9).alias("neg"), F.lit(i).alias("pri"), F.lit(q).alias("q"), score.alias("score")))
-    best = F.array_min(F.array(*scores))
-    # the candidates of a row are compared inside the row, so that nothing is exploded or shuffled
-    return f.select("item_id", best.alias("b")).select("item_id", "b.q", F.round("b.score", 6).alias("score")).distinct()
-
-
-@add("x16_keyword_cooccurrence", f"select page_id, least({_contained('text', vo.TOPICS['defects'])} / 1.5, 1.0) as score from pages_text")
+@add("x16_keyword_cooccurrence", f"select page_id, least({_contained('text', vo.DEFECT_WORDS)} / 1.5, 1.0) as score from pages_text")
 def p16(spark, d):
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", tx.keyword_score(F.col("text"), vo.TOPICS["defects"]).alias("score"))
-
-
-@add("x17_range_plausibility", "select value_id, round(case when value between 10.0 and 5000.0 then 1.0 else exp(-0.5 * pow((value - 2505.0) / 2495.0, 2)) end, 9) as p from extracted_values where physical_quantity = 'yield_strength' and value is not null")
-def p17(spark, d):
-    e = table(spark, d, "extracted_values", "value_id", "value", "physical_quantity").where("physical_quantity = 'yield_strength' and value is not null")
-    return e.select("value_id", F.round(tx.plausibility(F.col("value"), *vo.RANGES["yield_strength"]), 9).alias("p"))
-
-
-@add("x18_context_window", "select page_id, substring(text, greatest(1, strpos(text, ' MPa') - 60), strpos(text, ' MPa') + 60 - greatest(1, strpos(text, ' MPa') - 60)) as ctx from pages_text where strpos(text, ' MPa') > 0")
-def p18(spark, d):
-    at = F.instr("text", " MPa")
-    return table(spark, d, "pages_text", "page_id", "text").where(at > 0).select("page_id", tx.context_window(F.col("text"), at, 60, 60).alias("ctx"))
-
-
-@add("x18_context_windows")
-def p18_all(spark, d):
-    """One row per occurrence, of which x18_context_window and its SQL hold the first of a page only."""
-    p = table(spark, d, "pages_text", "page_id", "text").select("page_id", "text", F.explode(tx.positions(F.col("text"), " MPa")).alias("at"))
-    return p.select("page_id", "at", tx.context_window(F.col("text"), F.col("at"), 60, 60).alias("ctx"))
-
-
-@add("x19_unit_normalise", "select value_id, value * case unit when 'kW' then 1000.0 when 'mm/min' then 0.016666666666666666 when 'GPa' then 1000.0 when 'kg/m3' then 0.001 when 'MHz' then 1000.0 else 1.0 end as base from extracted_values where value is not null")
-def p19(spark, d):
-    return normalise_units(table(spark, d, "extracted_values", "value_id", "unit", "value").where("value is not null"), "unit", "value", "base").select("value_id", "base")
-
-
-@add("x20_plausibility_filter", "select value_id from extracted_values where physical_quantity = 'porosity' and value between 0.0 and 72.0")
-def p20(spark, d):
-    lo, hi = vo.RANGES["porosity"]
-    return table(spark, d, "extracted_values", "value_id", "value", "physical_quantity").where((F.col("physical_quantity") == "porosity") & tx.within(F.col("value"), lo, hi)).select("value_id")
-
-
-@add("x21_quantity_from_unit_context", f"select value_id, case when unit = 'MPa' and contains(lower(context), 'pressure') then 'pressure' when unit in ('MPa', 'GPa') then 'stress' when unit in ('W', 'kW') then 'laser_power' when unit in ('mm/s', 'm/s') and contains(lower(context), 'scan') then 'scan_speed' else 'unknown' end as q from extracted_values")
-def p21(spark, d):
-    u, ctx = F.col("unit"), F.lower("context")
-    q = F.when((u == "MPa") & ctx.contains("pressure"), "pressure").when(u.isin("MPa", "GPa"), "stress").when(u.isin("W", "kW"), "laser_power").when(u.isin("mm/s", "m/s") & ctx.contains("scan"), "scan_speed").otherwise("unknown")
-    return table(spark, d, "extracted_values", "value_id", "unit", "context").select("value_id", q.alias("q"))
-
-
-@add("x23_validity_notes", "select value_id, concat_ws('; ', case when value <= 0 then 'not positive' end, case when unit is null or unit = '' then 'no unit' end, case when not contains(context, ' ') then 'no context' end) as notes from extracted_values")
-def p23(spark, d):
-    notes = F.concat_ws("; ", F.when(F.col("value") <= 0, "not positive"), F.when(F.col("unit").isNull() | (F.col("unit") == ""), "no unit"), F.when(~F.col("context").contains(" "), "no context"))
-    return table(spark, d, "extracted_values", "value_id", "value", "unit", "context").select("value_id", notes.alias("notes"))
-
-
-@add("x25_alloy_canonical", "select distinct material, regexp_replace(lower(material), '[\\s\\-_]', '', 'g') as canonical from facts where material is not null")
-def p25(spark, d):
-    return table(spark, d, "facts", "material").where("material is not null").distinct().select("material", F.regexp_replace(F.lower("material"), r"[\s\-_]", "").alias("canonical"))
-
-
-@add("x26_term_canonical", "select value_id, replace(replace(replace(context, 'mm s-1', 'mm/s'), 'J cm-2', 'J/cm2'), 'kelvin', 'K') as context from extracted_values")
-def p26(spark, d):
-    c = F.col("context")
-    for a, b in (("mm s-1", "mm/s"), ("J cm-2", "J/cm2"), ("kelvin", "K")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return table(spark, d, "extracted_values", "value_id", "context").select("value_id", c.alias("context"))
-
-
-@add("x27_concept_validity", "select paper_id, (regexp_matches(lower(title), 'laser|melt|grain|alloy|scan') or regexp_matches(title, '([A-Z][a-z]?[0-9]+){2,}')) and not list_has_any(string_split(lower(title), ' '), ['untitled', 'draft', 'paper']) as valid from papers where title is not null")
-def p27(spark, d):
-    t = F.col("title")
-    ok = (F.lower(t).rlike("laser|melt|grain|alloy|scan") | t.rlike("([A-Z][a-z]?[0-9]+){2,}")) & ~F.arrays_overlap(F.split(F.lower(t), " "), F.array(F.lit("untitled"), F.lit("draft"), F.lit("paper")))
-    return table(spark, d, "papers", "paper_id", "title").where("title is not null").select("paper_id", ok.alias("valid"))
-
-
-@add("x28_concept_category", "select paper_id, case when regexp_matches(lower(title), 'crack|pore|fusion defect') then 'defect' when regexp_matches(lower(title), 'grain|dendrite|lath') then 'microstructure' else 'other_domain' end as category from papers where title is not null")
-def p28(spark, d):
-    t = F.lower("title")
-    return table(spark, d, "papers", "paper_id", "title").where("title is not null").select("paper_id", F.when(t.rlike("crack|pore|fusion defect"), "defect").when(t.rlike("grain|dendrite|lath"), "microstructure").otherwise("other_domain").alias("category"))
+    return table(spark, d, "pages_text", "page_id", "text").select("page_id", tx.keyword_score(F.col("text"), vo.DEFECT_WORDS).alias("score"))
 
 
 @add("x30_categorise", f"select distinct material, method, {_case('material', vo.MATERIAL_CLASSES, 'other')} as material_class, {_case('method', vo.METHOD_CLASSES, 'other')} as method_class from facts")
@@ -315,80 +143,25 @@ def p30(spark, d):
     return f.select("material", "method", tx.first_class(F.col("material"), vo.MATERIAL_CLASSES, "other").alias("material_class"), tx.first_class(F.col("method"), vo.METHOD_CLASSES, "other").alias("method_class"))
 
 
-@add("x31_material_validator", "select distinct canonical_name, len(list_distinct(regexp_extract_all(canonical_name, '(?:Al|Ti|Cr|Fe|Co|Ni|Cu|Mg|Zn|Si|Sn|Ag|Mo|Nb|Ta|Zr|Hf|Mn|V|W)'))) >= 2 as valid from materials_ref")
-def p31(spark, d):
-    elements = F.regexp_extract_all("canonical_name", F.lit("(?:Al|Ti|Cr|Fe|Co|Ni|Cu|Mg|Zn|Si|Sn|Ag|Mo|Nb|Ta|Zr|Hf|Mn|V|W)"), 0)
-    return table(spark, d, "materials_ref", "canonical_name").distinct().select("canonical_name", (F.size(F.array_distinct(elements)) >= 2).alias("valid"))
-
-
-@add("x32_term_normalise", "select distinct parameter_name, replace(trim(lower(parameter_name)), '–', '-') as term from facts where parameter_name is not null")
-def p32(spark, d):
-    return table(spark, d, "facts", "parameter_name").where("parameter_name is not null").distinct().select("parameter_name", F.translate(F.trim(F.lower("parameter_name")), "–", "-").alias("term"))
-
-
-@add("x33_intent_routing", f"select distinct query_text, {_case('query_text', vo.INTENTS, 'open')} as intent from extracted_values")
-def p33(spark, d):
-    return table(spark, d, "extracted_values", "query_text").distinct().select("query_text", tx.first_class(F.col("query_text"), vo.INTENTS, "open").alias("intent"))
-
-
-@add("x34_query_targets", f"select distinct query_text, {_case('query_text', vo.QUANTITY_RULES, 'none')} as target from extracted_values")
-def p34(spark, d):
-    return table(spark, d, "extracted_values", "query_text").distinct().select("query_text", tx.first_class(F.col("query_text"), vo.QUANTITY_RULES, "none").alias("target"))
-
-
 @add("x37_math_tokens", "select doc_id, len(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(lower(text), '\\\\([a-z]+)', '\\1', 'g'), '[{}_^=]', ' ', 'g'), '[a-z0-9]+'))) as words from documents where text is not null")
 def p37(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(tx.word_set(F.col("text"))).alias("words"))
 
 
-@add("x38_headings", "select page_id, line from (select page_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) as line from pages_text) where regexp_matches(line, '^([0-9]+\\.?)+ +[A-Z]')")
-def p38(spark, d):
-    lines = table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(r"^([0-9]+\.?)+ +[A-Z]"))
-
-
 @add("x40_fixed_chunks", "select chunk_id, i as chunk_no, substring(content, i * 350 + 1, 400) as piece from (select chunk_id, content, unnest(range(0, greatest(length(content) - 1, 0) // 350 + 1)) as i from (select distinct chunk_id, content from chunks) where content is not null)")
 def p40(spark, d):
     c = table(spark, d, "chunks", "chunk_id", "content").where("content is not null").distinct()
     return c.select("chunk_id", F.posexplode(tx.chunk_array(F.col("content"), 400, 50)).alias("chunk_no", "piece")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@add("x41_chunk_metadata", f"select distinct chunk_id, concat_ws(',', {', '.join(f"case when {_contained('content', w)} > 0 then '{n}' end" for n, w in vo.TOPICS.items())}) as topics, nullif(regexp_extract(content, '([0-9]+(?:\\.[0-9]+)?) W\\b', 1), '') as power, coalesce(contains(content, '='), false) as has_equations from chunks")
-def p41(spark, d):
-    c = F.col("content")
-    return table(spark, d, "chunks", "chunk_id", "content").select("chunk_id", tx.flags(c, vo.TOPICS).alias("topics"), tx.first_match(c, r"([0-9]+(?:\.[0-9]+)?) W\b", 1).alias("power"), F.coalesce(c.contains("="), F.lit(False)).alias("has_equations")).distinct()
-
-
-@add("x43_citations", "select paper_id, case when doi_guess like '10.%/%' then 'doi:' || lower(doi_guess) else '[' || filename || ']' end as citation from papers")
-def p43(spark, d):
-    return table(spark, d, "papers", "paper_id", "doi_guess", "filename").select("paper_id", F.when(F.col("doi_guess").like("10.%/%"), F.concat(F.lit("doi:"), F.lower("doi_guess"))).otherwise(F.concat(F.lit("["), "filename", F.lit("]"))).alias("citation"))
-
-
-@add("x44_json_event_props", "select event_id, json_extract_string(props, '$.k') as k, json_valid(props) as ok from events")
-def p44(spark, d):
-    return table(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.try_parse_json("props").isNotNull()).alias("ok"))
-
-
 @add("x45_extractive_summary")
 def p45(spark, d):
-    return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", tx.extractive_summary(F.col("text"), vo.TOPICS["process"]).alias("summary"))
-
-
-@add("x46_summary_tier", "select page_id, case when length(text) < 600 then 0 when length(text) < 1200 then 1 else 2 end as tier from pages_text where text is not null")
-def p46(spark, d):
-    n = F.length("text")
-    return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", F.when(n < 600, 0).when(n < 1200, 1).otherwise(2).alias("tier"))
+    return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", tx.extractive_summary(F.col("text"), vo.SUMMARY_WORDS).alias("summary"))
 
 
 _CLAIM = r"(?:The|the) ([a-z]+ [a-z]+) (reduces|increases|controls|governs|limits) (?:the |every )?([a-z]+ [a-z]+)"
 
 
-@add("x47_claim_triples", f"select page_id, s, p, o from (select page_id, unnest(regexp_extract_all(text, '{_CLAIM}', 1)) as s, unnest(regexp_extract_all(text, '{_CLAIM}', 2)) as p, unnest(regexp_extract_all(text, '{_CLAIM}', 3)) as o from pages_text)")
-def p47(spark, d):
-    z = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(_CLAIM), i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))])
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(z).alias("z")).select("page_id", "z.s", "z.p", "z.o")
-
-
 _COMP = r"([A-Z][a-z]?)([0-9]+(?:\.[0-9]+)?)"
 
 
@@ -406,11 +179,6 @@ def p52(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_W3), 0))).alias("w")).where(F.length("w") > 3)
 
 
-@add("x55_log_features", "select doc_source, round(ln(1 + count(*)), 9) as log_n from facts group by 1")
-def p55(spark, d):
-    return table(spark, d, "facts", "doc_source").groupBy("doc_source").agg(F.round(F.log1p(F.count(F.lit(1))), 9).alias("log_n"))
-
-
 @add("x56_letter_alias", "select feed, '[' || case when rn <= 26 then chr((64 + rn)::int) else rn::varchar end || ']' as alias from (select feed, row_number() over (order by feed) as rn from feeds)")
 def p56(spark, d):
     from lodestone.operators.ranking import letter_alias
@@ -425,23 +193,11 @@ def p57(spark, d):
     return equal_width_bins(table(spark, d, "facts", "item_id", "confidence").where("confidence is not null").distinct(), "confidence", 5, "bin").select("item_id", "bin")
 
 
-@add("x58_multiphysics_flags", "select paper_id, list_has_any(string_split(lower(coalesce(keywords, '')), ', '), ['simulation', 'porosity']) as multiphysics from papers")
-def p58(spark, d):
-    k = F.split(F.lower(F.coalesce("keywords", F.lit(""))), ", ")
-    return table(spark, d, "papers", "paper_id", "keywords").select("paper_id", F.arrays_overlap(k, F.array(F.lit("simulation"), F.lit("porosity"))).alias("multiphysics"))
-
-
 @add("x64_table_likeness", "select page_id, len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[0-9]+')) > 3)) > 0 as table_like from pages_text where text is not null")
 def p64(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", F.exists(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit("[0-9]+")) > 3).alias("table_like"))
 
 
-@add("x65_unpivot_to_facts", "select paper_id, 'pages' as field, pages::bigint as v, 'count' as unit from papers where pages is not null union all select paper_id, 'size_bytes', size_bytes, 'byte' from papers where size_bytes is not null")
-def p65(spark, d):
-    p = table(spark, d, "papers", "paper_id", "pages", "size_bytes").withColumn("pages", F.col("pages").cast("long"))
-    return p.unpivot("paper_id", ["pages", "size_bytes"], "field", "v").where("v is not null").withColumn("unit", F.when(F.col("field") == "pages", "count").otherwise("byte"))
-
-
 _KW = ["laser", "grain", "stress"]
 
 
@@ -453,18 +209,4 @@ def p72(spark, d):
 _NC = r"(.{0,30}?)([0-9]+(?:\.[0-9]+)?) (J/mm3|HV|MPa|K|nm)"
 
 
-@add("x73_numeric_claims", f"select page_id, v, u from (select page_id, unnest(regexp_extract_all(text, '{_NC}', 2)) as v, unnest(regexp_extract_all(text, '{_NC}', 3)) as u from pages_text)")
-def p73(spark, d):
-    z = F.arrays_zip(F.regexp_extract_all("text", F.lit(_NC), 2).alias("v"), F.regexp_extract_all("text", F.lit(_NC), 3).alias("u"))
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(z).alias("z")).select("page_id", "z.v", "z.u")
-
-
-@add("x74_alias_override", "select a, q from (select lower(trim(a)) as a, q, row_number() over (partition by lower(trim(a)) order by q) as rn from (select physical_quantity as q, unnest(string_split(other_names, ';')) as a from quantity_units)) where rn = 1")
-def p74(spark, d):
-    from lodestone.operators.ranking import top_per_key
-
-    a = table(spark, d, "quantity_units", "physical_quantity", "other_names").select(F.col("physical_quantity").alias("q"), F.explode(F.split("other_names", ";")).alias("a")).select(F.lower(F.trim("a")).alias("a"), "q")
-    return top_per_key(a, ["a"], [F.col("q")], 1).select("a", "q")
-
-
 QUERIES, ORACLE = C.queries, C.oracle

@@ -56,15 +56,6 @@ def k8(spark, d):
     return table(spark, d, "pages_text", "filename").where("filename is not null").distinct().select("filename", F.concat(F.regexp_replace("filename", "[^A-Za-z0-9._-]", "_"), F.lit("."), F.substring(F.sha2("filename", 256), 1, 16)).alias("cache_key"))
 
 
-@add("x15_unit_match_score", "select distinct e.value_id, case when e.unit = q.base_unit then 1.0 when lower(trim(e.unit)) = lower(q.base_unit) then 1.0 when regexp_extract(e.unit, '[A-Za-z]+$') = regexp_extract(q.base_unit, '[A-Za-z]+$') and regexp_extract(e.unit, '[A-Za-z]+$') <> '' then 0.7 else 0.0 end as score from extracted_values e join quantity_units q on e.physical_quantity = q.physical_quantity where e.unit is not null")
-def p15(spark, d):
-    q = table(spark, d, "quantity_units", "physical_quantity", "base_unit")
-    e = table(spark, d, "extracted_values", "value_id", "unit", "physical_quantity").where("unit is not null").join(small(q), "physical_quantity")
-    tail = lambda c: F.regexp_extract(c, "[A-Za-z]+$", 0)
-    score = F.when(F.col("unit") == F.col("base_unit"), 1.0).when(F.lower(F.trim("unit")) == F.lower("base_unit"), 1.0).when((tail("unit") == tail("base_unit")) & (tail("unit") != ""), 0.7).otherwise(0.0)
-    return e.select("value_id", score.alias("score")).distinct()
-
-
 @add("x22_dimension_class")
 def p22(spark, d):
     """Kinds of quantity a stated unit can measure, by the rule-built unit table."""
@@ -84,39 +75,12 @@ def p24(spark, d):
     return st.alias_normalise(terms, "t", names, "a", "q").select("physical_quantity", F.col("normal").alias("concept"))
 
 
-@add("x29_model_normalise", "select distinct parameter_name, replace(regexp_replace(lower(parameter_name), '[-_\\s]+', ' ', 'g'), ' ', '_') as model from facts where parameter_name is not null")
-def p29(spark, d):
-    return table(spark, d, "facts", "parameter_name").where("parameter_name is not null").distinct().select("parameter_name", F.regexp_replace(F.regexp_replace(F.lower("parameter_name"), r"[-_\s]+", " "), " ", "_").alias("model"))
-
-
-@add("x35_group_dimension", "select distinct query_text, case when contains(lower(query_text), 'document') or contains(lower(query_text), 'paper') then 'document' when contains(lower(query_text), 'method') then 'method' else 'material' end as dimension from extracted_values")
-def p35(spark, d):
-    return table(spark, d, "extracted_values", "query_text").distinct().select("query_text", tx.first_class(F.col("query_text"), [("document", ["document", "paper"]), ("method", ["method"])], "material").alias("dimension"))
-
-
-@add("x36_chart_request", "select distinct query_text, case when contains(lower(query_text), 'compare') then 'bar' when contains(lower(query_text), 'list') then 'table' when contains(lower(query_text), 'distribution') then 'histogram' else 'none' end as chart from extracted_values")
-def p36(spark, d):
-    return table(spark, d, "extracted_values", "query_text").distinct().select("query_text", tx.first_class(F.col("query_text"), [("bar", ["compare"]), ("table", ["list"]), ("histogram", ["distribution"])], "none").alias("chart"))
-
-
-@add("x39_section_class", f"select distinct section_title, {_case('section_title', [(s, [s]) for s in vo.SECTIONS], 'body')} as section from facts")
-def p39(spark, d):
-    return table(spark, d, "facts", "section_title").distinct().select("section_title", tx.first_class(F.col("section_title"), [(s, [s]) for s in vo.SECTIONS], "body").alias("section"))
-
-
 @add("x42_bibliography", "select paper_id, nullif(regexp_extract(subject, '^(.*?) ((?:19|20)\\d{2})$', 1), '') as journal, nullif(regexp_extract(subject, '^(.*?) ((?:19|20)\\d{2})$', 2), '') as year, trim(string_split(authors, ';')[1]) as first_author from papers")
 def p42(spark, d):
     p = r"^(.*?) ((?:19|20)\d{2})$"
     return table(spark, d, "papers", "paper_id", "subject", "authors").select("paper_id", tx.first_match(F.col("subject"), p, 1).alias("journal"), tx.first_match(F.col("subject"), p, 2).alias("year"), F.trim(F.get(F.split("authors", ";"), F.lit(0))).alias("first_author"))
 
 
-@add("x48_entities", "select chunk_id, m.material_id from (select distinct chunk_id, content from chunks) c join materials_ref m on contains(c.content, m.canonical_name)")
-def p48(spark, d):
-    m = table(spark, d, "materials_ref", "material_id", "canonical_name")
-    c = table(spark, d, "chunks", "chunk_id", "content").distinct()
-    return c.join(small(m), F.col("content").contains(F.col("canonical_name"))).select("chunk_id", "material_id")
-
-
 @add("x49_table_cells", "select page_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '^[0-9.]+$'))) as cells from pages_text where text is not null")
 def p49(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", F.size(F.filter(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda x: x.rlike("^[0-9.]+$"))).alias("cells"))
@@ -131,41 +95,11 @@ def p50(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(z).alias("z")).select("page_id", "z.p", "z.v")
 
 
-@add("x53_abstract_metrics", "select paper_id, unnest(regexp_extract_all(abstract, '([0-9]+(?:\\.[0-9]+)?) J/mm3', 1)) as energy_density from papers")
-def p53(spark, d):
-    return table(spark, d, "papers", "paper_id", "abstract").select("paper_id", F.explode(F.regexp_extract_all("abstract", F.lit(r"([0-9]+(?:\.[0-9]+)?) J/mm3"), 1)).alias("energy_density"))
-
-
 @add("x54_phrase_concepts", "select distinct paper_id, c from (select paper_id, unnest(regexp_extract_all(lower(title), '[a-z]+ (?:structure|pattern|boundary|layer|region|zone)')) as c from papers) where len(string_split(c, ' ')) >= 2")
 def p54(spark, d):
     return table(spark, d, "papers", "paper_id", "title").select("paper_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+ (?:structure|pattern|boundary|layer|region|zone)"), 0))).alias("c")).where(F.size(F.split("c", " ")) >= 2)
 
 
-@add("x59_unit_preference", "select distinct query_text, case when contains(lower(query_text), 'power') then 'W' when contains(lower(query_text), 'speed') then 'mm/s' when contains(lower(query_text), 'strength') then 'MPa' else '' end as unit from extracted_values")
-def p59(spark, d):
-    return table(spark, d, "extracted_values", "query_text").distinct().select("query_text", tx.first_class(F.col("query_text"), [("W", ["power"]), ("mm/s", ["speed"]), ("MPa", ["strength"])], "").alias("unit"))
-
-
-@add("x60_dynamic_units", "select value_id, unit, score from (select distinct value_id, unit, round(case when unit in (select base_unit from quantity_units) then 0.6 else 0.4 end + case when contains(lower(context), replace(physical_quantity, '_', ' ')) then 0.5 else 0 end, 9) as score from extracted_values where unit is not null) where score > 0.4")
-def p60(spark, d):
-    base = table(spark, d, "quantity_units", F.col("base_unit").alias("unit")).distinct().withColumn("known", F.lit(True))
-    e = table(spark, d, "extracted_values", "value_id", "unit", "context", "physical_quantity").where("unit is not null").join(small(base), "unit", "left")
-    score = F.when(F.coalesce("known", F.lit(False)), 0.6).otherwise(0.4) + F.when(F.lower("context").contains(F.regexp_replace("physical_quantity", "_", " ")), 0.5).otherwise(0.0)
-    return e.select("value_id", "unit", F.round(score, 9).alias("score")).distinct().where("score > 0.4")
-
-
-@add("x61_guess_from_context", f"select distinct value_id, {_case('context', vo.QUANTITY_RULES, 'unknown_parameter')} as guess from extracted_values")
-def p61(spark, d):
-    return table(spark, d, "extracted_values", "value_id", "context").select("value_id", tx.first_class(F.col("context"), vo.QUANTITY_RULES, "unknown_parameter").alias("guess")).distinct()
-
-
-@add("x62_disambiguation", f"select distinct value_id, round(0.65 * coalesce((unit = 'MPa')::int, 0) + 0.55 * {_contained('context', ['strength'])} - 1.2 * {_contained('context', ['pressure'])} + case when value between 10.0 and 5000.0 then 0.25 else -0.4 end, 9) as score from extracted_values where value is not null")
-def p62(spark, d):
-    ctx = F.col("context")
-    score = 0.65 * F.coalesce((F.col("unit") == "MPa").cast("int"), F.lit(0)) + 0.55 * tx.contained(ctx, ["strength"]) - 1.2 * tx.contained(ctx, ["pressure"]) + F.when(F.col("value").between(10.0, 5000.0), 0.25).otherwise(-0.4)
-    return table(spark, d, "extracted_values", "value_id", "unit", "context", "value").where("value is not null").select("value_id", F.round(score, 9).alias("score")).distinct()
-
-
 @add("x63_strict_extractor", "select distinct value_id from extracted_values where value <> 0 and regexp_matches(unit, '^(W|kW|mW|MW)') and contains(lower(context), 'power')")
 def p63(spark, d):
     return table(spark, d, "extracted_values", "value_id", "value", "unit", "context").where((F.col("value") != 0) & F.col("unit").rlike("^(W|kW|mW|MW)") & F.lower("context").contains("power")).select("value_id").distinct()
@@ -202,12 +136,6 @@ def p71(spark, d):
     return table(spark, d, "facts", "section_title").where("section_title is not null").distinct().select("section_title", (s.contains("result") | s.contains("discuss")).alias("found"))
 
 
-@add("f4_materials_only", "select doc_source as doc, count(distinct material) as materials from facts where material in (select canonical_name from materials_ref) group by 1 having count(distinct material) > 0")
-def f4(spark, d):
-    m = table(spark, d, "materials_ref", F.col("canonical_name").alias("material"))
-    return table(spark, d, "facts", F.col("doc_source").alias("doc"), "material").join(small(m), "material", "left_semi").groupBy("doc").agg(F.count_distinct("material").alias("materials")).where("materials > 0")
-
-
 @add("j4_copair_counts", "with s as (select distinct source_citation as doc, phase as p from alloy_properties where phase is not null and source_citation is not null) select x.p as a, y.p as b, count(*) as docs from s x join s y on x.doc = y.doc and x.p < y.p group by 1, 2")
 def j4(spark, d):
     from lodestone.operators.facts import cooccurrence

@@ -72,13 +72,6 @@ def f9(spark, d):
     return e.join(t, "query_text").where((F.round(F.exp("confidence") / F.col("z"), 12) > F.round(1.0 / F.col("n"), 12)) | (F.col("n") <= 5)).select("value_id")
 
 
-@add("f10_physics_bounds", "select value_id, case when physical_quantity = 'preheat_temperature' and unit = 'K' and value < 0 then 'below zero' when physical_quantity = 'porosity' and unit = '%' and (value < 0 or value > 100) then 'out of range' else 'ok' end as verdict from (select distinct * from extracted_values)")
-def f10(spark, d):
-    q, u, v = F.col("physical_quantity"), F.col("unit"), F.col("value")
-    verdict = F.when((q == "preheat_temperature") & (u == "K") & (v < 0), "below zero").when((q == "porosity") & (u == "%") & ((v < 0) | (v > 100)), "out of range").otherwise("ok")
-    return table(spark, d, "extracted_values").distinct().select("value_id", verdict.alias("verdict"))
-
-
 _PQ = "select distinct doc_name, material, {c} as {n} from extracted_values where physical_quantity = '{q}' and value is not null"
 
 

@@ -66,11 +66,14 @@ def test_all_mentions_of_a_sentence_are_related(spark):
 def test_one_window_per_occurrence(spark, tmp_path):
     from lodestone.plans import catalogue
 
-    texts = [" MPa at 3 MPa", "none", None, "x" * 80 + " MPa MPa" + "y" * 90]
+    texts = ["30 MPa at 3.5 MPa", "none", None, "x" * 280 + " 5 W 6 × 10^3 kHz" + "y" * 290]
     spark.createDataFrame(list(enumerate(texts)), "page_id int, text string").write.parquet(str(tmp_path / "pages_text.parquet"))
-    got = {(r["page_id"], r["at"]): r["ctx"] for r in catalogue.queries()["x18_context_windows"](spark, str(tmp_path)).collect()}
-    assert set(got) == {(0, 1), (0, 10), (3, 81), (3, 85)}
-    assert all(" MPa" in c for c in got.values()) and got[3, 85] == texts[3][24:144]
+    q = catalogue.queries()
+    got = {(r["page_id"], r["at"]): r["ctx"] for r in q["x18_context_window"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (0, 11), (3, 282), (3, 286)}
+    assert got[3, 286] == texts[3][85:485]
+    raw = {(r["page_id"], r["at"]): (r["raw"], r["v"], r["u"]) for r in q["x10_number_unit_candidates"](spark, str(tmp_path)).collect()}
+    assert raw[3, 286] == ("6 × 10^3 kHz", "6 × 10^3", "kHz") and raw[0, 11] == ("3.5 MPa", "3.5", "MPa")
 
 
 def test_new_names_decimals_and_variants_are_found(spark):
@@ -111,6 +114,6 @@ def test_limits_are_those_of_the_reference(spark, tmp_path):
     texts = ["µ" * 1000 + "a", "µ" * 1000 + "b", "µ" * 600_000]
     texts += ["q" * 1024 + "a", "q" * 1024 + "b"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {r["page_id"]: r["abstract"] for r in q["x5_abstracts"](spark, str(tmp_path)).collect()} == {1: body, 2: "z" * 500, 3: body, 4: None}
+    assert {r["page_id"]: r["abstract"] for r in q["x5_abstract_extraction"](spark, str(tmp_path)).collect()} == {1: body, 2: "z" * 500, 3: body, 4: None}
     assert {r["page_id"]: r["text"] for r in q["s2_pages_truncated"](spark, str(tmp_path)).collect()} == {n: t if n != 2 else "z" * 20_000 + " [cut]" for n, _, t in pages}
-    assert {r["doc_id"]: r["short"] for r in q["x1_long_hashes"](spark, str(tmp_path)).collect()} == {n: hashlib.sha256(t.encode()[: 1 << 20]).hexdigest()[:16] for n, t in enumerate(texts)}
+    assert {r["doc_id"]: r["short"] for r in q["x1_hashes"](spark, str(tmp_path)).collect()} == {n: hashlib.sha256(t.encode()[: 1 << 20]).hexdigest()[:16] for n, t in enumerate(texts)}
