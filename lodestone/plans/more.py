@@ -143,14 +143,6 @@ def j4(spark, d):
     return cooccurrence(table(spark, d, "alloy_properties", "phase", "source_citation").where("source_citation is not null"), "phase", "source_citation")
 
 
-@add("j13_candidates_by_pattern", "select count(*) as tried, count(*) filter (contains(lower(context), replace(q.physical_quantity, '_', ' '))) as hits from (select distinct value_id, context from extracted_values) e, quantity_units q")
-def j13(spark, d):
-    names = [r[0] for r in table(spark, d, "quantity_units", "physical_quantity").collect()]  # a fixed list of quantities
-    e = table(spark, d, "extracted_values", "value_id", "context").distinct()
-    hits = sum((F.coalesce(F.lower("context").contains(n.replace("_", " ")).cast("int"), F.lit(0)) for n in names), F.lit(0))
-    return e.agg((F.count(F.lit(1)) * len(names)).alias("tried"), F.sum(hits).alias("hits"))
-
-
 @add("g34_material_features", "select material, round(ln(1 + count(*) filter (method_origin = 'nanoindentation')), 9) as m1, round(ln(1 + count(distinct doc_name)), 9) as docs from (select distinct * from extracted_values) where material is not null group by 1")
 def g34(spark, d):
     e = table(spark, d, "extracted_values").distinct().where("material is not null")
@@ -193,13 +185,6 @@ def g53(spark, d):
     return g.select("phase", "parameter_name", F.round(F.col("mean") / F.greatest(F.lit(1), F.col("big")), 9).alias("cell"))
 
 
-@add("w1_ranked_documents", f"select filename, score from (select filename, round(least(1.0, 0.3 * {_contained('title', ['laser', 'grain'])} + 0.2 * {_contained('abstract', ['laser', 'grain'])}), 9) as score from papers) order by score desc, filename limit 8")
-def w1(spark, d):
-    p = table(spark, d, "papers", "filename", "title", "abstract")
-    s = F.least(F.lit(1.0), 0.3 * tx.contained(F.col("title"), ["laser", "grain"]) + 0.2 * tx.contained(F.col("abstract"), ["laser", "grain"]))
-    return p.select("filename", F.round(s, 9).alias("score")).orderBy(F.desc("score"), "filename").limit(8)
-
-
 @add("w4_top_subgraph", "with e as (select x.physical_quantity as a, y.physical_quantity as b, count(distinct x.doc_name) as w from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity <> y.physical_quantity group by 1, 2) select a as node, sum(w) as degree from e group by 1 order by degree desc, node limit 5")
 def w4(spark, d):
     pairs = k4(spark, d)
@@ -225,28 +210,6 @@ def r10(spark, d):
     return table(spark, d, "papers", "filename", "title", "abstract").select("filename", F.round(0.6 * tx.contained(F.col("title"), ["laser"]) + 0.4 * tx.contained(F.col("abstract"), ["laser"]), 9).alias("score"))
 
 
-@add("r11_condensed_tree", "select filename, page_num, substring(text, 1, 80) as head from (select *, row_number() over (partition by filename order by page_num, page_id) as rn from pages_text) where rn <= 5")
-def r11(spark, d):
-    p = table(spark, d, "pages_text", "filename", "page_num", "page_id", F.substring("text", 1, 80).alias("head"))
-    return top_per_key(p, ["filename"], [F.col("page_num"), F.col("page_id")], 5).select("filename", "page_num", "head")
-
-
-@add("r14_verified_items", "select item_id, confidence from (select f.item_id, round(least(1, greatest(0, case when p.text is null then f.confidence * 0.5 when contains(lower(p.text), lower(f.parameter_name)) then f.confidence + 0.05 else f.confidence - 0.3 end)), 9) as confidence from (select distinct item_id, doc_source, page, parameter_name, confidence from facts where parameter_name is not null and confidence is not null) f left join (select filename, page_num, min(text) as text from pages_text group by 1, 2) p on f.doc_source = p.filename and f.page = p.page_num)")
-def r14(spark, d):
-    f = table(spark, d, "facts", "item_id", "doc_source", "page", "parameter_name", "confidence").where("parameter_name is not null and confidence is not null").distinct()
-    p = table(spark, d, "pages_text", F.col("filename").alias("doc_source"), F.col("page_num").alias("page"), "text").groupBy("doc_source", "page").agg(F.min("text").alias("text"))
-    c = F.col("confidence")
-    out = F.when(F.col("text").isNull(), c * 0.5).when(F.lower("text").contains(F.lower("parameter_name")), c + 0.05).otherwise(c - 0.3)
-    return f.join(p, ["doc_source", "page"], "left").select("item_id", F.round(F.least(F.lit(1), F.greatest(F.lit(0), out)), 9).alias("confidence"))
-
-
-@add("r15_tiered_selection", "with t as (select filename from papers where contains(lower(title), 'laser') order by filename limit 20) select page_id from (select p.page_id, row_number() over (partition by p.filename order by p.page_num, p.page_id) as rn from pages_text p join t on p.filename = t.filename) where rn <= 3")
-def r15(spark, d):
-    t = table(spark, d, "papers", "filename", "title").where(F.lower("title").contains("laser")).orderBy("filename").limit(20).select("filename")
-    p = table(spark, d, "pages_text", "page_id", "filename", "page_num").join(F.broadcast(t), "filename")
-    return top_per_key(p, ["filename"], [F.col("page_num"), F.col("page_id")], 3).select("page_id")
-
-
 @add("r17_regex_then_verify", "select distinct page_id, v from (select page_id, text, unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?) MPa', 1)) as v from pages_text) where contains(text, ' ' || v || ' ')")
 def r17(spark, d):
     p = table(spark, d, "pages_text", "page_id", "text").select("page_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)?) MPa"), 1))).alias("v"))
@@ -345,14 +308,6 @@ def p67(spark, d):
     return e.groupBy("label", F.col("i").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("centre"))
 
 
-@add("j5_extreme_documents", f"with m as (select q, doc, avg(value) as mean from {_F} where q is not null and value is not null and doc is not null group by 1, 2 having avg(value) > 0) select q, max(mean) / min(mean) > 2 as contradicting, count(*) as docs from m group by q having count(*) > 1")
-def j5(spark, d):
-    from lodestone.operators.facts import document_means
-
-    m = document_means(facts(spark, d, "item_id", "q", "doc", "value").where("doc is not null"), "q", "doc", "value").where("mean > 0")
-    return m.groupBy("q").agg((F.max("mean") / F.min("mean") > 2).alias("contradicting"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-
-
 @add("g54_agreement_frames", "with t as (select material, count(*) as n, count(distinct method_origin) as agreement from (select distinct * from extracted_values) where material is not null group by 1 order by n desc, material limit 50) select material, k from t, range(1, 4) r(k) where agreement >= k")
 def g54(spark, d):
     e = table(spark, d, "extracted_values").distinct().where("material is not null")
@@ -360,13 +315,6 @@ def g54(spark, d):
     return top.where("agreement > 0").select("material", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(3).cast("long"), F.col("agreement")))).alias("k"))
 
 
-@add("r12_drill_down", "with t as (select filename from papers where contains(lower(title), 'laser') order by filename limit 5) select p.page_id from pages_text p join t on p.filename = t.filename where contains(lower(p.text), 'laser')")
-def r12(spark, d):
-    """Two steps of a bounded navigation: choose documents, then the pages of those that hold the term."""
-    t = table(spark, d, "papers", "filename", "title").where(F.lower("title").contains("laser")).orderBy("filename").limit(5).select("filename")
-    return table(spark, d, "pages_text", "page_id", "filename", "text").join(F.broadcast(t), "filename").where(F.lower("text").contains("laser")).select("page_id")
-
-
 @add("m2_semantic_graph", "select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35")
 def m2(spark, d):
     from lodestone.operators.vectors import dot, unit

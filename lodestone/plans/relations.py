@@ -21,13 +21,6 @@ def _contained(col: str, words: list[str]) -> str:
     return "(" + " + ".join(f"coalesce(contains(lower({col}), '{w}')::int, 0)" for w in words) + ")"
 
 
-@add("f1_query_focus", "select distinct item_id from facts where doc_source in (select filename from papers where feed = 'publisher') or physical_quantity = 'porosity' or material = 'Corvanil 612'")
-def f1(spark, d):
-    docs = table(spark, d, "papers", "filename", "feed").where("feed = 'publisher'").select(F.col("filename").alias("doc_source")).distinct().withColumn("hit", F.lit(True))
-    f = table(spark, d, "facts", "item_id", "doc_source", "physical_quantity", "material").join(docs, "doc_source", "left")
-    return f.where(F.coalesce("hit", F.lit(False)) | (F.col("physical_quantity") == "porosity") | (F.col("material") == "Corvanil 612")).select("item_id").distinct()
-
-
 @add("f2_min_confidence", "select distinct item_id from facts where confidence >= 0.55")
 def f2(spark, d):
     return table(spark, d, "facts", "item_id", "confidence").where("confidence >= 0.55").select("item_id").distinct()
@@ -87,13 +80,6 @@ def j1(spark, d):
     return j.agg(F.coalesce(F.sum(F.col("np") * F.col("ns")), F.lit(0)).alias("pairs"), F.count_distinct("doc_name").alias("docs"))
 
 
-@add("j2_material_means", "select p.material, p.n as power_n, s.n as speed_n from (select material, count(*) as n from (select distinct * from extracted_values) where physical_quantity = 'laser_power' and value is not null group by 1) p join (select material, count(*) as n from (select distinct * from extracted_values) where physical_quantity = 'scan_speed' and value is not null group by 1) s on p.material = s.material")
-def j2(spark, d):
-    e = table(spark, d, "extracted_values").distinct().where("value is not null")
-    n = lambda q, c: e.where(F.col("physical_quantity") == q).groupBy("material").agg(F.count(F.lit(1)).alias(c))
-    return n("laser_power", "power_n").join(n("scan_speed", "speed_n"), "material")
-
-
 @add("j3_left_join_fill", "select p.filename, coalesce(n, 0) as facts from papers p left join (select doc_source, count(distinct item_id) as n from facts group by 1) f on p.filename = f.doc_source")
 def j3(spark, d):
     n = table(spark, d, "facts", F.col("doc_source").alias("filename"), "item_id").groupBy("filename").agg(F.count_distinct("item_id").alias("facts"))
@@ -160,15 +146,6 @@ def j12(spark, d):
     return pairs.join(have, ["a", "b"], "left_anti")
 
 
-@add("j14_citation_verification", "select f.item_id, case when p.text is null then round(f.confidence * 0.5, 9) when contains(lower(p.text), lower(f.material)) then round(least(1, f.confidence + 0.1), 9) else round(greatest(0, f.confidence - 0.3), 9) end as confidence from (select distinct item_id, doc_source, page, material, confidence from facts where material is not null and confidence is not null) f left join (select filename, page_num, min(text) as text from pages_text group by 1, 2) p on f.doc_source = p.filename and f.page = p.page_num")
-def j14(spark, d):
-    f = table(spark, d, "facts", "item_id", "doc_source", "page", "material", "confidence").where("material is not null and confidence is not null").distinct()
-    p = table(spark, d, "pages_text", F.col("filename").alias("doc_source"), F.col("page_num").alias("page"), "text").groupBy("doc_source", "page").agg(F.min("text").alias("text"))
-    c = F.col("confidence")
-    out = F.when(F.col("text").isNull(), c * 0.5).when(F.lower("text").contains(F.lower("material")), F.least(F.lit(1.0), c + 0.1)).otherwise(F.greatest(F.lit(0.0), c - 0.3))
-    return f.join(p, ["doc_source", "page"], "left").select("item_id", F.round(out, 9).alias("confidence"))
-
-
 @add("j15_siblings", "select a.chunk_id, count(b.chunk_id) as siblings from (select distinct chunk_id, source, chunk_index from chunks) a left join (select distinct chunk_id, source, chunk_index from chunks) b on a.source = b.source and abs(a.chunk_index - b.chunk_index) = 1 group by 1")
 def j15(spark, d):
     c = table(spark, d, "chunks", "chunk_id", "source", "chunk_index").distinct()
@@ -201,34 +178,15 @@ def j17(spark, d):
     return f.join(best, "doc_source", "left").select("item_id", F.coalesce("material", "usual").alias("material"))
 
 
-@add("j18_first_chunk", "select e.value_id, c.chunk_id from (select distinct value_id, doc_name from extracted_values) e join (select source, min(chunk_id) as chunk_id from chunks group by 1) c on e.doc_name = c.source")
-def j18(spark, d):
-    c = table(spark, d, "chunks", F.col("source").alias("doc_name"), "chunk_id").groupBy("doc_name").agg(F.min("chunk_id").alias("chunk_id"))
-    return table(spark, d, "extracted_values", "value_id", "doc_name").distinct().join(c, "doc_name").select("value_id", "chunk_id")
-
-
 _TERMS = ["porosity", "grain", "laser"]
 
 
-@add("r1_document_score", f"select filename, round(0.5 * {_contained('title', _TERMS)} / 3.0 + 0.5 * {_contained('abstract', _TERMS)} / 3.0, 9) as score from papers order by score desc, filename limit 20")
-def r1(spark, d):
-    p = table(spark, d, "papers", "filename", "title", "abstract")
-    score = 0.5 * tx.contained(F.col("title"), _TERMS) / 3.0 + 0.5 * tx.contained(F.col("abstract"), _TERMS) / 3.0
-    return p.select("filename", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "filename").limit(20)
-
-
 @add("r2_vector_top_k", "select q as query, k as key, similarity, rn as rank from (select q, k, similarity, row_number() over (partition by q order by similarity desc, k) as rn from (select a.vec_id as q, b.vec_id as k, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as similarity from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)) where rn <= 5")
 def r2(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     return ve.nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
 
 
-@add("r4_chunk_scores", "select distinct chunk_id, round(0.3 * (coalesce(contains(content, 'Corvanil')::int, 0) + coalesce(contains(content, 'Nimbrax')::int, 0)) + 0.25 * coalesce(contains(content, 'Fig.')::int, 0), 9) as score from chunks")
-def r4(spark, d):
-    hit = lambda w: F.coalesce(F.col("content").contains(w).cast("int"), F.lit(0))
-    return table(spark, d, "chunks", "chunk_id", "content").select("chunk_id", F.round(0.3 * (hit("Corvanil") + hit("Nimbrax")) + 0.25 * hit("Fig."), 9).alias("score")).distinct()
-
-
 def _quantity_graph(spark, d):
     from lodestone.operators.facts import cooccurrence
 
@@ -245,42 +203,6 @@ def r5(spark, d):
     return gr.pagerank(e, rounds=10, personal=start).select("node", F.round("rank", 9).alias("rank"))
 
 
-@add("r6_diffusion", "select value_id, round(0.6 * coalesce((t - confidence) / nullif(n - 1, 0), 0) + 0.4 * confidence, 9) as score from (select value_id, confidence, sum(confidence) over (partition by doc_name, page) as t, count(*) over (partition by doc_name, page) as n from (select distinct value_id, doc_name, page, confidence from extracted_values where confidence is not null and doc_name is not null and page is not null))")
-def r6(spark, d):
-    e = table(spark, d, "extracted_values", "value_id", "doc_name", "page", "confidence").where("confidence is not null and doc_name is not null and page is not null").distinct()
-    t = e.groupBy("doc_name", "page").agg(F.sum("confidence").alias("t"), F.count(F.lit(1)).alias("n"))
-    near = F.coalesce((F.col("t") - F.col("confidence")) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))
-    return e.join(t, ["doc_name", "page"]).select("value_id", F.round(0.6 * near + 0.4 * F.col("confidence"), 9).alias("score"))
-
-
-@add("r7_salience", f"select value_id, round((0.4 * 0.5 + 0.25 * least({_contained('context', _TERMS)} / 1.5, 1.0) + 0.2 * (material is not null)::int + 0.15 * coalesce(contains(lower(section_title), 'result')::int, 0)) * confidence, 9) as salience from (select distinct * from extracted_values)")
-def r7(spark, d):
-    kw = F.least(tx.contained(F.col("context"), _TERMS) / 1.5, F.lit(1.0))
-    section = F.coalesce(F.lower("section_title").contains("result").cast("int"), F.lit(0))
-    s = (0.4 * 0.5 + 0.25 * kw + 0.2 * F.col("material").isNotNull().cast("int") + 0.15 * section) * F.col("confidence")
-    return table(spark, d, "extracted_values").distinct().select("value_id", F.round(s, 9).alias("salience"))
-
-
-@add("r8_relevance_penalty", "select value_id, round(confidence * exp(-abs(log10(value / 100.0))) * (0.6 + 0.4 * confidence), 9) as relevance from (select distinct * from extracted_values) where value > 0")
-def r8(spark, d):
-    c, v = F.col("confidence"), F.col("value")
-    return table(spark, d, "extracted_values").distinct().where("value > 0").select("value_id", F.round(c * F.exp(-F.abs(F.log10(v / 100.0))) * (0.6 + 0.4 * c), 9).alias("relevance"))
-
-
-@add("r9_concept_salience", "select material, round(0.25 * least(1.0, n / 10.0) + 0.2 * least(1.0, docs / 5.0) + case when regexp_matches(material, '[0-9]') then 0.12 else 0 end, 9) as salience from (select material, count(distinct item_id) as n, count(distinct doc_source) as docs from facts where material is not null group by 1)")
-def r9(spark, d):
-    g = table(spark, d, "facts", "material", "item_id", "doc_source").where("material is not null").groupBy("material").agg(F.count_distinct("item_id").alias("n"), F.count_distinct("doc_source").alias("docs"))
-    s = 0.25 * F.least(F.lit(1.0), F.col("n") / 10.0) + 0.2 * F.least(F.lit(1.0), F.col("docs") / 5.0) + F.when(F.col("material").rlike("[0-9]"), 0.12).otherwise(0.0)
-    return g.select("material", F.round(s, 9).alias("salience"))
-
-
-@add("r13_tree_levels", "select page_id, h, len(string_split(rtrim(h, '.'), '.')) as level from (select page_id, regexp_extract(line, '^([0-9]+(?:\\.[0-9]+)*\\.?) +[A-Z]', 1) as h from (select page_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) as line from pages_text)) where h <> ''")
-def r13(spark, d):
-    lines = table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line"))
-    h = lines.select("page_id", F.regexp_extract("line", r"^([0-9]+(?:\.[0-9]+)*\.?) +[A-Z]", 1).alias("h")).where("h <> ''")
-    return h.withColumn("level", F.size(F.split(F.regexp_replace("h", r"\.$", ""), r"\.")))
-
-
 @add("r16_bm25", "with p as (select page_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from pages_text where text is not null), s as (select count(*) as n, avg(len(w)) as l from p), t as (select 'porosity' as term union all select 'keyhole'), f as (select p.page_id, t.term, len(list_filter(p.w, lambda x: x = t.term)) as tf, len(p.w) as dl from p, t), df as (select term, count(*) filter (tf > 0) as df from f group by 1) select page_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / l))), 6) as score from f join df using (term), s where tf > 0 group by 1")
 def r16(spark, d):
     from lodestone.operators.search import bm25
@@ -314,13 +236,6 @@ def g36(spark, d):
     return retrieval_metrics(r.select("query", "rank", (F.col("ql") == F.col("kl")).cast("int").alias("relevant")), 5)
 
 
-@add("g37_faithfulness", "select value_id, len(list_filter(regexp_extract_all(context, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(coalesce(query_text, ''), '[0-9]+'), x))) as unseen from (select distinct value_id, context, query_text from extracted_values where context is not null)")
-def g37(spark, d):
-    e = table(spark, d, "extracted_values", "value_id", "context", "query_text").where("context is not null").distinct()
-    seen = F.regexp_extract_all(F.coalesce("query_text", F.lit("")), F.lit("[0-9]+"), 0)
-    return e.select("value_id", F.size(F.filter(F.regexp_extract_all("context", F.lit("[0-9]+"), 0), lambda x: ~F.array_contains(seen, x))).alias("unseen"))
-
-
 @add("g38_field_errors", "select l_returnflag, round(sqrt(avg(pow(l_discount - l_tax, 2))), 9) as rmse, round(avg(abs(l_discount - l_tax)), 9) as mae from lineitem group by 1")
 def g38(spark, d):
     e = F.col("l_discount") - F.col("l_tax")
