@@ -46,10 +46,10 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, personal
     return rank
 
 
-def connected_components(edges: DataFrame, most: int = 30) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable. Labels spread to neighbours and jump along labels until stable."""
     label = cut(degrees(edges).select("node", F.col("node").alias("component")))
-    for _ in range(most):
+    while True:
         near = edges.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node").select("node", F.least("component", "near").alias("component"))
         # pointer jumping halves the remaining distance
@@ -58,8 +58,7 @@ def connected_components(edges: DataFrame, most: int = 30) -> DataFrame:
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         label = new
         if not changed:
-            break
-    return label
+            return label
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: int = 4) -> DataFrame:

@@ -73,10 +73,10 @@ def shifted(df: DataFrame, keys: list[str], order: list[Column], value: str, out
 
 
 def letter_alias(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Aliases [A] to [Z], then [27] and on, in sorted order of a dimension's distinct values."""
-    names = df.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("n"))
-    pairs = names.select(F.posexplode("n").alias("i", column))
-    return pairs.select(column, F.concat(F.lit("["), F.when(F.col("i") < 26, F.char(F.col("i") + 65)).otherwise((F.col("i") + 1).cast("string")), F.lit("]")).alias(out))
+    """Aliases [A] to [Z], then [27] and on, in sorted order of a column's distinct values, ranked by range blocks."""
+    r = ranked(df.select(column).distinct(), [], [F.col(column)], "__i")
+    i = F.col("__i")
+    return r.select(column, F.concat(F.lit("["), F.when(i <= 26, F.char(i.cast("int") + 64)).otherwise(i.cast("string")), F.lit("]")).alias(out))
 
 
 def equal_width_bins(df: DataFrame, column: str, bins: int, out: str) -> DataFrame:

@@ -32,10 +32,9 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     Written partitioned or sorted by term, a search reads its terms' rows only (``search_postings``).
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-    w = docs.where(F.col(text).isNotNull()).select(key, words.alias("w")).withColumn("dl", F.size("w"))
-    # a text's words are counted inside its row, so nothing but the postings is shuffled
-    counted = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.size(F.filter("w", lambda y: y == x)).alias("tf")))
-    return w.select(key, "dl", F.explode(counted).alias("p")).select("p.term", key, "p.tf", "dl")
+    w = docs.where(F.col(text).isNotNull()).select(key, words.alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    # a text's words are counted in its own task before anything is shuffled
+    return w.groupBy("term", key, "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", key, "tf", "dl")
 
 
 def write_postings(docs: DataFrame, key: str, text: str, path: str, files: int = 16) -> None:

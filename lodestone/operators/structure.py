@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import small
+from lodestone.operators.ranking import ranked
+from lodestone.session import cut, ship, small
 
 
 def alias_normalise(terms: DataFrame, term: str, names: DataFrame, alias: str, canonical: str, ratio: float = 0.85) -> DataFrame:
@@ -28,26 +29,38 @@ def alias_normalise(terms: DataFrame, term: str, names: DataFrame, alias: str, c
     return best.select(*keys, F.coalesce("b.__c", F.col(term)).alias("normal"))
 
 
-_SPAN = re.compile(r"\d+(?:[.,]\d+)*(?:\s?(?:J/mm3|MPa|nm|µm|W|K|%|HV))?|\d+")
+#: Kinds of spans, their patterns and how sure each is; a number with its unit is surer than the number or the unit alone.
+SPAN_KINDS = (("measurement", re.compile(r"\d+(?:[.,]\d+)*\s?(?:J/mm3|MPa|GPa|kHz|nm|µm|mm/s|W|K|%|HV)(?![A-Za-z])"), 0.9), ("number", re.compile(r"\d+(?:[.,]\d+)*"), 0.6), ("alloy", re.compile(r"(?:[A-Z][a-z]?\d+(?:\.\d+)?){2,}"), 0.8), ("range", re.compile(r"\d+(?:[.,]\d+)* (?:and|to) \d+(?:[.,]\d+)*"), 0.7))
 
 
-def number_spans(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, stop) of number spans; of overlapping candidates the longest from the left stays. One narrow pass."""
+def deduplicated_spans(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Of spans (start, stop, kind, confidence) sorted by start, the longest first, those that overlap none before them; a
+    surer one that overlaps the last replaces it."""
+    out: list[tuple[int, int, str, float]] = []
+    end = -1
+    for x in sorted(spans, key=lambda s: (s[0], s[0] - s[1], s[2])):
+        if x[0] >= end:
+            out.append(x)
+            end = x[1]
+        elif x[3] > out[-1][3]:
+            out[-1] = x
+    return out
+
+
+def entity_spans(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, stop, kind, confidence) of the spans that remain of all overlapping candidates. One narrow pass."""
+    ship(pages.sparkSession)
 
     def spans(frames):
         for f in frames:
             out = []
             for k, t in zip(f["k"], f["t"], strict=True):
-                last = -1
-                found = sorted(((m.start(), m.end()) for m in _SPAN.finditer(t)), key=lambda s: (s[0], s[0] - s[1]))
-                for a, b in found:
-                    if a >= last:
-                        out.append((k, a, b))
-                        last = b
-            yield pd.DataFrame(out, columns=["key", "start", "stop"])
+                found = [(m.start(), m.end(), kind, sure) for kind, pattern, sure in SPAN_KINDS for m in pattern.finditer(t)]
+                out += [(k, *x) for x in deduplicated_spans(found)]
+            yield pd.DataFrame(out, columns=["key", "start", "stop", "kind", "confidence"])
 
     src = pages.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return src.mapInPandas(spans, f"key {dict(src.dtypes)['k']}, start int, stop int").withColumnRenamed("key", key)
+    return src.mapInPandas(spans, f"key {dict(src.dtypes)['k']}, start int, stop int, kind string, confidence double").withColumnRenamed("key", key)
 
 
 #: Words that name a property and a process (reference), and the written forms of a quantity.
@@ -96,29 +109,85 @@ def sentence_relations(pages: DataFrame, key: str, text: str, materials: dict[st
     return src.mapInPandas(relate, f"key {dict(src.dtypes)['k']}, sentence int, subject string, predicate string, object string, confidence double, subject_at int, object_at int").withColumnRenamed("key", key)
 
 
+class _Block:
+    """A block of items to be packed: what becomes of any fill that an open batch brings into it."""
+
+    def __init__(self, sizes: np.ndarray, limit: int):
+        self.sizes, self.limit = sizes, limit
+        self.sums = np.concatenate([[0], np.cumsum(sizes)])
+        m = len(sizes)
+        # the batch that begins at i ends before after[i]; at least one item belongs to it
+        after = np.maximum(np.searchsorted(self.sums, self.sums[:-1] + limit, side="right") - 1, np.arange(m) + 1)
+        self.after, self.count, self.last = after, np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for i in range(m - 1, -1, -1):
+            n = after[i]
+            self.count[i], self.last[i] = (1, i) if n >= m else (self.count[n] + 1, self.last[n])
+
+    def first_break(self, items: int, fill: int) -> int:
+        """Index of the first item that an open batch of ``items`` items and ``fill`` cannot take."""
+        n = int(np.searchsorted(self.sums, self.limit - fill, side="right") - 1)
+        return max(n, 1) if not items else max(n, 0)
+
+    def summary(self) -> tuple:
+        """Sums, batches begun and fill left open, by the first break; only breaks that a fill can bring about are listed."""
+        m = len(self.sizes)
+        n = min(int(np.searchsorted(self.sums, self.limit, side="right")) + 1, m)
+        return self.sums[: n + 1].tolist(), self.count[:n].tolist(), (m - self.last[:n]).tolist(), (self.sums[-1] - self.sums[self.last[:n]]).tolist(), m, int(self.sums[-1])
+
+
 def greedy_batches(df: DataFrame, key: str, order: str, size: Column, limit: int, block: int = 5000) -> DataFrame:
-    """(key, batch_block, batch, items, chars): items packed in order into batches of at most ``limit``.
+    """(key, batch, items, chars): items packed in order into batches of at most ``limit``; a longer item is a batch alone.
 
-    The order of a key is cut into blocks of ``block`` positions, which are packed apart, so that a key of any size is
-    spread over tasks; a batch never crosses a block.
+    The items of a key are ranked by range blocks and cut into blocks of ``block`` places. Each block is summed up by where
+    an open batch first breaks in it, the summaries are followed from block to block, and the blocks are then packed
+    apart: the batches are those of one pass over the key, whatever its size. Equal orders are packed by size. A null
+    key is one key; null sizes count as 0.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), size.cast("long").alias("s")).withColumn("b", F.floor(F.col("o") / block))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "s"])
-        out, n, chars, batch = [], 0, 0, 0
-        for s in pdf["s"]:
-            if n and chars + s > limit:
-                out.append((batch, n, chars))
-                batch, n, chars = batch + 1, 0, 0
-            n, chars = n + 1, chars + s
-        out.append((batch, n, chars))
-        r = pd.DataFrame(out, columns=["batch", "items", "chars"])
-        r.insert(0, "batch_block", pdf["b"].iloc[0])
-        r.insert(0, "key", pdf["k"].iloc[0])
-        return r
-
-    return rows.groupBy("k", "b").applyInPandas(pack, f"key {dict(rows.dtypes)['k']}, batch_block long, batch int, items int, chars long").withColumnRenamed("key", key)
+    ship(df.sparkSession)
+    rows = df.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(size.cast("long"), F.lit(0)).alias("s"))
+    r = ranked(rows, ["k"], [F.col("o"), F.col("s")], "r").withColumn("b", F.floor((F.col("r") - 1) / block))
+    r = cut(r.groupBy("k", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]).alias("sizes")))
+    kt = dict(r.dtypes)["k"]
+
+    def summarise(frames):
+        for f in frames:
+            out = [(k, b, *_Block(np.asarray(s, np.int64), limit).summary()) for k, b, s in zip(f["k"], f["b"], f["sizes"], strict=True)]
+            yield pd.DataFrame(out, columns=["k", "b", "sums", "count", "items", "fill", "m", "total"])
+
+    summaries = r.mapInPandas(summarise, f"k {kt}, b long, sums array<long>, count array<long>, items array<long>, fill array<long>, m long, total long")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, batch, items, fill = [], 0, 0, 0
+        for x in pdf.sort_values("b").itertuples(index=False):
+            out.append((x.k, x.b, batch, items, fill))
+            sums = np.asarray(x.sums)
+            n = int(np.searchsorted(sums, limit - fill, side="right") - 1)
+            n = max(n, 0 if items else 1)
+            if n >= x.m:
+                items, fill = items + x.m, fill + x.total
+            else:
+                batch, items, fill = batch + int(x.count[n]), int(x.items[n]), int(x.fill[n])
+        return pd.DataFrame(out, columns=["k", "b", "batch", "items", "fill"])
+
+    starts = summaries.groupBy("k").applyInPandas(follow, f"k {kt}, b long, batch long, items long, fill long")
+
+    def pack(frames):
+        for f in frames:
+            out = []
+            for k, sizes, batch, items, fill in zip(f["k"], f["sizes"], f["batch"], f["items"], f["fill"], strict=True):
+                b = _Block(np.asarray(sizes, np.int64), limit)
+                n = min(b.first_break(items, fill), len(b.sizes))
+                if n:
+                    out.append((k, batch, n, int(b.sums[n])))
+                while n < len(b.sizes):
+                    batch, stop = batch + 1, min(int(b.after[n]), len(b.sizes))
+                    out.append((k, batch, stop - n, int(b.sums[stop] - b.sums[n])))
+                    n = stop
+            yield pd.DataFrame(out, columns=["key", "batch", "items", "chars"])
+
+    j = r.join(starts.withColumnsRenamed({"k": "k2", "b": "b2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2"))).select("k", "sizes", "batch", "items", "fill")
+    packed = j.mapInPandas(pack, f"key {kt}, batch long, items long, chars long")
+    return packed.groupBy("key", "batch").agg(F.sum("items").alias("items"), F.sum("chars").alias("chars")).withColumnRenamed("key", key)
 
 
 def region_statistics(cells: DataFrame) -> DataFrame:

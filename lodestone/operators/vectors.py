@@ -1,13 +1,16 @@
-"""Similarity over embedding columns: exact top-k for a stated query set and an approximate index."""
+"""Similarity over embedding columns: exact top-k for a stated query set, all pairs in blocks, and an index of cells."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import top_per_key
+from lodestone.session import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -190,3 +193,80 @@ def bridged_graph(rows: DataFrame, key: str, vector: str, least: float) -> DataF
 
     best = _block_pairs(part.join(order, "c"), "k", "v", bridges, f"r long, away double, src {kt}, dst {kt}", ("r",)).groupBy("r").agg(F.min(F.struct("away", "src", "dst")).alias("b"))
     return out.unionByName(best.select(F.least("b.src", "b.dst").alias("src"), F.greatest("b.src", "b.dst").alias("dst"), (-F.col("b.away")).alias("similarity"), F.lit("bridge").alias("kind")))
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors by the cell of their nearest centre; ``rows`` holds (cell, key, vector) of every vector."""
+
+    rows: DataFrame
+    centres: np.ndarray
+
+
+def cell_index(rows: DataFrame, key: str, vector: str, cells: int = 16, sample: int = 20_000) -> CellIndex:
+    """Index of unit vectors in ``cells`` cells. Centres are fitted on the ``sample`` rows of least hash; every row is indexed.
+
+    Null vectors are left out; a table without vectors gives an empty index. Written partitioned by cell, a search reads
+    its cells only.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ship(rows.sparkSession)
+    src = rows.select(F.col(key).alias("k"), unit(F.col(vector)).alias("v")).where("v is not null")
+    fit = src.orderBy(F.xxhash64("k"), "k").limit(sample).select(array_to_vector("v").alias("features"))
+    if fit.isEmpty():
+        return CellIndex(src.select(F.lit(0).alias("cell"), "k", "v"), np.zeros((1, 1)))
+    centres = np.stack(KMeans(k=cells, seed=5, maxIter=10).fit(fit).clusterCenters())
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions
+
+    def assign(frames):
+        for f in frames:
+            if len(f):
+                x = np.stack(f["v"].to_numpy())
+                c = shared.value
+                f["cell"] = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]).argmin(1).astype(np.int32)
+                yield f[["cell", "k", "v"]]
+
+    kt = dict(src.dtypes)["k"]
+    return CellIndex(src.mapInPandas(assign, f"cell int, k {kt}, v array<double>"), centres)
+
+
+def nearest_in_cells(index: CellIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int = 12) -> DataFrame:
+    """(query, key, similarity, rank) of the nearest in the ``probes`` cells nearest to each query; ties go to the smaller key.
+
+    Approximate: vectors of other cells are not met. ``nearest`` is the exact way.
+    """
+    from lodestone.operators.ranking import ranked
+
+    shared = index.rows.sparkSession.sparkContext.broadcast(index.centres)
+    q = queries.select(F.col(key).alias("q"), unit(F.col(vector)).alias("u")).where("u is not null")
+    qt = dict(q.dtypes)["q"]
+
+    def probe(frames):
+        for f in frames:
+            if len(f):
+                x, c = np.stack(f["u"].to_numpy()), shared.value
+                near = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]).argsort(1)[:, :probes]
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), near.shape[1]), "u": [u for u in f["u"] for _ in range(near.shape[1])], "cell": near.ravel().astype(np.int32)})
+
+    asked = q.mapInPandas(probe, f"q {qt}, u array<double>, cell int")
+    met = index.rows.join(asked, "cell").where(F.col("k") != F.col("q")).select(F.col("q").alias("query"), F.col("k").alias("key"), F.round(dot(F.col("u"), F.col("v")), 9).alias("similarity"))
+    order = [F.desc("similarity"), F.col("key")]
+    return ranked(top_per_key(met, ["query"], order, k), ["query"], order)
+
+
+def davies_bouldin(rows: DataFrame, vector: str, label: str) -> float:
+    """Davies-Bouldin index of labelled vectors; the labels are few, so their centres and spreads reach the driver."""
+    src = rows.select(F.col(label).alias("c"), F.col(vector).alias("v"))
+    e = src.select("c", F.posexplode("v").alias("i", "x"))
+    means = e.groupBy("c", "i").agg(F.avg("x").alias("m")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    diff = F.zip_with(F.col("v"), F.col("m"), lambda a, b: a.cast("double") - b)
+    spread = src.join(F.broadcast(means), "c").groupBy("c").agg(F.avg(F.sqrt(dot(diff, diff))).alias("s"))
+    got = means.join(spread, "c").orderBy("c").collect()
+    m, s = np.array([r["m"] for r in got]), np.array([r["s"] for r in got])
+    if len(got) < 2:
+        return 0.0
+    gap = np.linalg.norm(m[:, None, :] - m[None, :, :], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    return float(np.mean(((s[:, None] + s[None, :]) / gap).max(axis=1)))

@@ -35,14 +35,9 @@ def s1(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", tx.squeeze(F.col("text")).alias("text"))
 
 
-@add("s2_page_subset_truncated", "select page_id, case when length(text) > 300 then substring(text, 1, 300) || ' [cut]' else text end as text from pages_text where page_num in (1, 2, 3)")
+@add("s2_pages_truncated", "select page_id, case when length(text) > 20000 then substring(text, 1, 20000) || ' [cut]' else text end as text from pages_text")
 def s2(spark, d):
-    return table(spark, d, "pages_text", "page_id", "page_num", "text").where(F.col("page_num").isin(1, 2, 3)).select("page_id", tx.truncated(F.col("text"), 300).alias("text"))
-
-
-@add("s2_pages_truncated")
-def s2_all(spark, d):
-    """Every page up to the reference's 20,000 characters; s2_page_subset_truncated and its SQL cut pages 1 to 3 at 300."""
+    """Every page, cut with a mark beyond 20,000 characters."""
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", tx.truncated(F.col("text"), 20_000).alias("text"))
 
 
@@ -87,23 +82,6 @@ def s14(spark, d):
     return table(spark, d, "papers", "paper_id", "filename").orderBy(F.desc("paper_id")).limit(100)
 
 
-@add("k1_insert_or_ignore", "select checksum_sha256, min(paper_id) as paper_id, count(*) > 1 as duplicate from papers group by 1")
-def k1(spark, d):
-    return table(spark, d, "papers", "paper_id", "checksum_sha256").groupBy("checksum_sha256").agg(F.min("paper_id").alias("paper_id"), (F.count(F.lit(1)) > 1).alias("duplicate"))
-
-
-@add("k5_report_json", "select paper_id, '{\"id\":' || paper_id || ',\"pages\":' || pages || '}' as report from papers where pages is not null")
-def k5(spark, d):
-    p = table(spark, d, "papers", "paper_id", "pages").where("pages is not null")
-    return p.select("paper_id", F.to_json(F.struct(F.col("paper_id").alias("id"), "pages")).alias("report"))
-
-
-@add("k6_comparison_table", "select coalesce(nullif(method, ''), 'Unknown') || ' | ' || count(*) as line from facts group by coalesce(nullif(method, ''), 'Unknown')")
-def k6(spark, d):
-    f = table(spark, d, "facts", "method").groupBy(tx.named_or_unknown(F.col("method")).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    return f.select(F.concat_ws(" | ", "m", "n").alias("line"))
-
-
 
 
 @add("x9_process_flags", "select page_id, concat_ws(',', " + ", ".join(f"case when {_contained('text', w)} > 0 then '{n}' end" for n, w in vo.PROCESSES.items()) + ") as flags from pages_text")
@@ -179,13 +157,6 @@ def p52(spark, d):
     return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_W3), 0))).alias("w")).where(F.length("w") > 3)
 
 
-@add("x56_letter_alias", "select feed, '[' || case when rn <= 26 then chr((64 + rn)::int) else rn::varchar end || ']' as alias from (select feed, row_number() over (order by feed) as rn from feeds)")
-def p56(spark, d):
-    from lodestone.operators.ranking import letter_alias
-
-    return letter_alias(table(spark, d, "feeds", "feed"), "feed", "alias")
-
-
 @add("x57_equal_width_bins", "select item_id, cast(least(floor((confidence - lo) / ((hi - lo) / 5)), 4) as int) as bin from (select distinct item_id, confidence from facts where confidence is not null), (select min(confidence) as lo, max(confidence) as hi from facts)")
 def p57(spark, d):
     from lodestone.operators.ranking import equal_width_bins
@@ -209,4 +180,11 @@ def p72(spark, d):
 _NC = r"(.{0,30}?)([0-9]+(?:\.[0-9]+)?) (J/mm3|HV|MPa|K|nm)"
 
 
+@add("x56_letter_alias", "select feed, '[' || case when rn <= 26 then chr((64 + rn)::int) else rn::varchar end || ']' as alias from (select feed, row_number() over (order by feed) as rn from feeds)")
+def x56(spark, d):
+    from lodestone.operators.ranking import letter_alias
+
+    return letter_alias(table(spark, d, "feeds", "feed"), "feed", "alias")
+
+
 QUERIES, ORACLE = C.queries, C.oracle

@@ -29,33 +29,6 @@ def s15(spark, d):
     return spark.range(20).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 20).alias("dst"))
 
 
-@add("k2_replace_per_key", "select paper_checksum, page_num, max(page_id) as page_id from pages_text where paper_checksum is not null group by 1, 2")
-def k2(spark, d):
-    return table(spark, d, "pages_text", "paper_checksum", "page_num", "page_id").where("paper_checksum is not null").groupBy("paper_checksum", "page_num").agg(F.max("page_id").alias("page_id"))
-
-
-@add("k3_chunk_upsert", "select source, chunk_index, max(chunk_id) as chunk_id from chunks group by 1, 2")
-def k3(spark, d):
-    return table(spark, d, "chunks", "source", "chunk_index", "chunk_id").groupBy("source", "chunk_index").agg(F.max("chunk_id").alias("chunk_id"))
-
-
-@add("k4_edge_export", "select x.physical_quantity as src, y.physical_quantity as dst, count(distinct x.doc_name) as weight from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity < y.physical_quantity group by 1, 2")
-def k4(spark, d):
-    from lodestone.operators.facts import cooccurrence
-
-    return cooccurrence(table(spark, d, "extracted_values", "physical_quantity", "doc_name"), "physical_quantity", "doc_name").withColumnsRenamed({"a": "src", "b": "dst", "docs": "weight"})
-
-
-@add("k7_edge_explanations", "select item_id, content from (select distinct item_id, content, confidence from facts) where coalesce(content, '') <> '' order by confidence desc nulls last, item_id limit 100")
-def k7(spark, d):
-    return table(spark, d, "facts", "item_id", "content", "confidence").distinct().where("content <> ''").orderBy(F.desc_nulls_last("confidence"), "item_id").limit(100).select("item_id", "content")
-
-
-@add("k8_tree_cache_key", "select distinct filename, regexp_replace(filename, '[^A-Za-z0-9._-]', '_', 'g') || '.' || substring(sha256(filename), 1, 16) as cache_key from pages_text where filename is not null")
-def k8(spark, d):
-    return table(spark, d, "pages_text", "filename").where("filename is not null").distinct().select("filename", F.concat(F.regexp_replace("filename", "[^A-Za-z0-9._-]", "_"), F.lit("."), F.substring(F.sha2("filename", 256), 1, 16)).alias("cache_key"))
-
-
 @add("x22_dimension_class")
 def p22(spark, d):
     """Kinds of quantity a stated unit can measure, by the rule-built unit table."""
@@ -112,9 +85,8 @@ def p66(spark, d):
 
 @add("x68_span_dedupe")
 def p68(spark, d):
-    """Overlapping number spans of a page: sorted by start, the longest first; a more confident one replaces."""
-    pages = table(spark, d, "pages_text", "page_id", "text").where("text is not null")
-    return st.number_spans(pages, "page_id", "text")
+    """Spans of a page, of overlapping candidates the first and longest; a surer one that overlaps it replaces it."""
+    return st.entity_spans(table(spark, d, "pages_text", "page_id", "text").where("text is not null"), "page_id", "text")
 
 
 @add("x69_entity_normalisation", "select distinct f.material, m.material_id from (select distinct material from facts) f join (select material_id, trim(unnest(string_split(canonical_name || coalesce('; ' || other_names, ''), ';'))) as n from materials_ref) m on lower(trim(f.material)) = lower(m.n)")
@@ -216,31 +188,21 @@ def r17(spark, d):
     return p.where(F.col("text").contains(F.concat(F.lit(" "), "v", F.lit(" ")))).select("page_id", "v")
 
 
-@add("m1_hybrid_graph", "with c as (select x.physical_quantity as a, y.physical_quantity as b, count(distinct x.doc_name) as w from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity < y.physical_quantity group by 1, 2) select a, b, round(0.6 * w + 0.4 * (string_split(a, '_')[-1] = string_split(b, '_')[-1])::int, 9) as weight from c")
-def m1(spark, d):
-    last = lambda c: F.element_at(F.split(c, "_"), -1)
-    return k4(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round(0.6 * F.col("weight") + 0.4 * (last("src") == last("dst")).cast("int"), 9).alias("weight"))
+def k4(spark, d):
+    from lodestone.operators.facts import cooccurrence
+
+    return cooccurrence(table(spark, d, "extracted_values", "physical_quantity", "doc_name"), "physical_quantity", "doc_name").withColumnsRenamed({"a": "src", "b": "dst", "docs": "weight"})
 
 
 def _quantity_edges(spark, d):
     return cut(gr.undirected(k4(spark, d), "src", "dst"))
 
 
-@add("m6_direction_scores")
-def m6(spark, d):
-    """Pairs of quantities ranked by how close their neighbourhoods are and how rarely they meet."""
-    e = _quantity_edges(spark, d)
-    n = e.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("near"))
-    pairs = k4(spark, d).join(n.select(F.col("node").alias("src"), F.col("near").alias("n1")), "src").join(n.select(F.col("node").alias("dst"), F.col("near").alias("n2")), "dst")
-    overlap = F.size(F.array_intersect("n1", "n2")) / F.size(F.array_union("n1", "n2"))
-    return pairs.select("src", "dst", F.round(0.4 * overlap + 0.3 / F.col("weight"), 9).alias("score")).orderBy(F.desc("score"), "src", "dst").limit(50)
-
-
 @add("m9_bootstrap_interval")
 def m9(spark, d):
-    """Percentile interval of the mean over 200 Poisson resamples, drawn in one pass over the rows."""
+    """Percentile interval of the mean over 500 Poisson resamples, drawn in one pass over the rows."""
     e = table(spark, d, "extracted_values", "value_id", "confidence").where("confidence is not null").distinct()
-    return st.bootstrap_mean(e, "value_id", "confidence", 200)
+    return st.bootstrap_mean(e, "value_id", "confidence", 500)
 
 
 @add("m14_stratified_sample", "select paper_id from (select paper_id, row_number() over (partition by feed order by md5(paper_id::varchar), paper_id) as rn from papers) where rn <= 10")
@@ -249,11 +211,6 @@ def m14(spark, d):
     return top_per_key(p, ["feed"], [F.md5(F.col("paper_id").cast("string")), F.col("paper_id")], 10).select("paper_id")
 
 
-@add("m17_degree_centrality", "with p as (select distinct x.physical_quantity as a, y.physical_quantity as b from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity <> y.physical_quantity) select a as node, count(*) as degree from p group by 1 order by degree desc, node limit 5")
-def m17(spark, d):
-    return gr.degrees(_quantity_edges(spark, d)).orderBy(F.desc("degree"), "node").limit(5)
-
-
 @add("m18_heterogeneous_graph", "select 'doc-material' as kind, count(*) as edges from (select distinct doc_source, material from facts where doc_source is not null and material is not null) union all select 'doc-quantity', count(*) from (select distinct doc_source, physical_quantity from facts where doc_source is not null and physical_quantity is not null)")
 def m18(spark, d):
     f = table(spark, d, "facts", F.col("doc_source").alias("doc"), "material", F.col("physical_quantity").alias("q"))
@@ -261,12 +218,6 @@ def m18(spark, d):
     return e.groupBy(F.when(F.col("kind") == "q", "doc-quantity").otherwise("doc-material").alias("kind")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@add("m21_graph_validity")
-def m21(spark, d):
-    t = gr.triangle_clustering(_quantity_edges(spark, d))
-    return t.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("clustering"), 9).alias("average_clustering"), (F.sum("triangles") / 3).cast("long").alias("triangles"))
-
-
 @add("stream_tumbling", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_tumbling(spark, d):
     return ingest.tumbling_counts(table(spark, d, "events", "ts", "event_type"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -315,55 +266,20 @@ def g54(spark, d):
     return top.where("agreement > 0").select("material", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(3).cast("long"), F.col("agreement")))).alias("k"))
 
 
-@add("m2_semantic_graph", "select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35")
-def m2(spark, d):
-    from lodestone.operators.vectors import dot, unit
-
-    e = table(spark, d, "embeddings", "vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("src"), unit(F.col("embedding")).alias("u"))
-    rows = e.select(F.col("vec_id").alias("dst"), unit(F.col("embedding")).alias("v"))
-    return rows.join(small(q), F.col("src") != F.col("dst")).where(F.round(dot(F.col("u"), F.col("v")), 9) >= 0.35).select("src", "dst")
+@add("m2_semantic_edges", "select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35")
+def m2_edges(spark, d):
+    """All pairs with a cosine of at least 0.35, of the graph with its bridges."""
+    return m2_bridged(spark, d).where("kind = 'semantic'").select("src", "dst")
 
 
 @add("m2_bridged_graph")
 def m2_bridged(spark, d):
-    """The whole graph with its bridges, of which m2_semantic_graph and its SQL hold the edges of ids % 50 = 0 only."""
+    """The whole semantic graph, its components joined by bridges."""
     from lodestone.operators.vectors import bridged_graph
 
     return bridged_graph(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.35)
 
 
-@add("m4_negative_samples", "with n as (select distinct source_citation as v from alloy_properties where source_citation is not null), e as (select distinct source_citation as a, phase as b from alloy_properties where source_citation is not null and phase is not null), p as (select distinct phase as b from alloy_properties where phase is not null) select n.v as a, p.b from n, p where not exists (select 1 from e where e.a = n.v and e.b = p.b)")
-def m4(spark, d):
-    """Pairs of document and phase without an edge; the phases are a closed list."""
-    e = table(spark, d, "alloy_properties", F.col("source_citation").alias("a"), F.col("phase").alias("b")).where("a is not null")
-    phases = e.where("b is not null").select("b").distinct()
-    pairs = e.select("a").distinct().join(F.broadcast(phases))
-    return pairs.join(e.where("b is not null").distinct(), ["a", "b"], "left_anti")
-
-
-@add("m5_link_features")
-def m5(spark, d):
-    """Link prediction without a neural net: logistic regression on common neighbours and degrees of quantity pairs."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    e = _quantity_edges(spark, d)
-    near = e.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("near"))
-    pairs = k4(spark, d).join(near.select(F.col("node").alias("src"), F.col("near").alias("n1")), "src").join(near.select(F.col("node").alias("dst"), F.col("near").alias("n2")), "dst")
-    f = pairs.select("src", "dst", F.size(F.array_intersect("n1", "n2")).alias("common"), F.size("n1").alias("d1"), F.size("n2").alias("d2"), (F.col("weight") > 1).cast("double").alias("label"))
-    x = VectorAssembler(inputCols=["common", "d1", "d2"], outputCol="features").transform(f)
-    model = LogisticRegression(maxIter=10, regParam=0.1).fit(x)
-    return model.transform(x).select("src", "dst", F.round(vector_to_array("probability")[F.size(vector_to_array("probability")) - 1], 6).alias("p"))
-
-
-@add("m10_representatives", "select material_class, canonical_name from (select material_class, canonical_name, row_number() over (partition by material_class order by length(canonical_name), canonical_name) as rn from materials_ref) where rn = 1")
-def m10(spark, d):
-    m = table(spark, d, "materials_ref", "material_class", "canonical_name")
-    return top_per_key(m, ["material_class"], [F.length("canonical_name"), F.col("canonical_name")], 1)
-
-
 @add("m20_projection_variance")
 def m20(spark, d):
     """Share of variance of each of four principal components of the standardised vectors."""

@@ -101,29 +101,29 @@ def j7(spark, d):
     return f.select("item_id", near["page_num"].alias("page_num"))
 
 
-@add("j8_dictionary_join", "select item_id, q from (select f.item_id, q.physical_quantity as q, row_number() over (partition by f.item_id order by length(a) desc, a) as rn from (select distinct item_id, content from facts) f join (select physical_quantity, trim(unnest(string_split(other_names || '; ' || replace(physical_quantity, '_', ' '), ';'))) as a from quantity_units) q on contains(lower(f.content), lower(q.a))) where rn = 1")
-def j8(spark, d):
-    q = table(spark, d, "quantity_units", "physical_quantity", "other_names")
-    names = q.select(F.col("physical_quantity").alias("q"), F.explode(F.split(F.concat("other_names", F.lit("; "), F.regexp_replace("physical_quantity", "_", " ")), ";")).alias("a")).select("q", F.trim("a").alias("a"))
-    f = table(spark, d, "facts", "item_id", "content").distinct()
-    hits = f.join(small(names), F.lower("content").contains(F.lower("a")))
-    return top_per_key(hits, ["item_id"], [F.desc(F.length("a")), F.col("a")], 1).select("item_id", "q")
-
-
-@add("j9_similarity_join", "select a.vec_id as q, b.vec_id as k from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.3")
-def j9(spark, d):
-    e = table(spark, d, "embeddings", "vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), ve.unit(F.col("embedding")).alias("u"))
-    rows = e.select(F.col("vec_id").alias("k"), ve.unit(F.col("embedding")).alias("v"))
-    return rows.join(small(q), F.col("q") != F.col("k")).where(F.round(ve.dot(F.col("u"), F.col("v")), 9) >= 0.3).select("q", "k")
+@add("j9_link_counts", "select a.vec_id, count(b.vec_id) as links from embeddings a left join embeddings b on a.vec_id <> b.vec_id and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.3 group by 1")
+def j9_counts(spark, d):
+    """Number of vectors with a cosine of at least 0.3 to each vector, over all pairs in blocks."""
+    return j9_links(spark, d).select("vec_id", "links")
 
 
 @add("j9_similarity_links")
 def j9_links(spark, d):
-    """The join over all vectors, of which j9_similarity_join and its SQL hold the sources with id % 50 = 0 only."""
+    """The similarity join over all vectors: each with its number of links and its class."""
     return ve.similarity_links(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.3)
 
 
+@add("j8_dictionary_join", "select item_id, q from (select f.item_id, q.physical_quantity as q, row_number() over (partition by f.item_id order by length(a) desc, a) as rn from (select distinct item_id, content from facts) f join (select physical_quantity, trim(unnest(string_split(other_names || '; ' || replace(physical_quantity, '_', ' '), ';'))) as a from quantity_units) q on contains(lower(f.content), lower(q.a))) where rn = 1")
+def j8(spark, d):
+    """The longest alias that a content holds, of equally long ones the first; the dictionary is looked through in the row."""
+    q = table(spark, d, "quantity_units", "physical_quantity", "other_names")
+    names = q.select(F.col("physical_quantity").alias("q"), F.explode(F.split(F.concat("other_names", F.lit("; "), F.regexp_replace("physical_quantity", "_", " ")), ";")).alias("a")).select("q", F.trim("a").alias("a")).distinct()
+    one = names.agg(F.array_sort(F.collect_list(F.struct((-F.length("a")).alias("k"), "a", "q"))).alias("names"))  # the fixed list of quantities
+    f = table(spark, d, "facts", "item_id", "content").distinct().where("content is not null")
+    hit = F.get(F.filter("names", lambda x: F.lower("content").contains(F.lower(x["a"]))), F.lit(0))
+    return f.join(F.broadcast(one)).select("item_id", hit["q"].alias("q")).where("q is not null")
+
+
 @add("j10_semi_join", "select page_id from pages_text where filename in (select doc_source from facts where physical_quantity = 'porosity')")
 def j10(spark, d):
     f = table(spark, d, "facts", F.col("doc_source").alias("filename"), "physical_quantity").where("physical_quantity = 'porosity'").select("filename").distinct()
@@ -156,15 +156,9 @@ def j15(spark, d):
     return c.select("chunk_id").distinct().join(n, "chunk_id", "left").fillna(0, ["siblings"])
 
 
-@add("j16_band_join", "select page_id, count(*) as close_pairs from (select page_id, strpos(text, 'grain') as g, strpos(text, 'stress') as s from pages_text) where g > 0 and s > 0 and abs(g - s) < 100 group by 1")
-def j16(spark, d):
-    p = table(spark, d, "pages_text", "page_id", "text").select("page_id", F.instr("text", "grain").alias("g"), F.instr("text", "stress").alias("s"))
-    return p.where("g > 0 and s > 0 and abs(g - s) < 100").groupBy("page_id").agg(F.count(F.lit(1)).alias("close_pairs"))
-
-
 @add("j16_sentence_relations")
 def j16_relations(spark, d):
-    """All mentions of a sentence for the three type pairs; j16_band_join and its SQL hold the first words of a page only."""
+    """All mentions of a sentence for the three type pairs."""
     m = table(spark, d, "materials_ref", "canonical_name", "other_names").collect()  # a fixed dimension
     names = {n.strip(): r["canonical_name"] for r in m for n in (r["other_names"] or "").split(";")} | {r["canonical_name"]: r["canonical_name"] for r in m}
     return sentence_relations(table(spark, d, "pages_text", "page_id", "text"), "page_id", "text", {k: v for k, v in names.items() if k})
@@ -256,17 +250,9 @@ def _paper_graph(spark, d):
     return gr.undirected(chain, "paper_id", "next")
 
 
-@add("m3_shortest_paths", "select o as origin, n as node, abs(ro - rn) as distance from (select a.paper_id as o, b.paper_id as n, a.r as ro, b.r as rn from (select group_id, paper_id, row_number() over (partition by group_id order by paper_id) as r from duplicate_groups) a join (select group_id, paper_id, row_number() over (partition by group_id order by paper_id) as r from duplicate_groups) b on a.group_id = b.group_id and a.paper_id % 50 = 0) where abs(ro - rn) <= 4")
-def m3(spark, d):
-    from lodestone.session import cut
-
-    e = cut(_paper_graph(spark, d))
-    return gr.shortest_paths(e, e.select(F.col("src").alias("node")).distinct().where("node % 50 = 0"), 4)
-
-
-@add("m3_all_shortest_paths")
+@add("m3_all_shortest_paths", "select a.paper_id as origin, b.paper_id as node, abs(a.r - b.r) as distance from (select group_id, paper_id, row_number() over (partition by group_id order by paper_id) as r from duplicate_groups) a join (select group_id, paper_id, row_number() over (partition by group_id order by paper_id) as r from duplicate_groups) b on a.group_id = b.group_id where abs(a.r - b.r) <= 4 and a.group_id in (select group_id from duplicate_groups group by 1 having count(*) > 1)")
 def m3_all(spark, d):
-    """Paths from every paper, of which m3_shortest_paths and its SQL hold the origins with id % 50 = 0 only."""
+    """Paths of at most four steps from every paper."""
     from lodestone.session import cut
 
     e = cut(_paper_graph(spark, d))
@@ -310,23 +296,34 @@ def m16(spark, d):
 
 @add("m15_topics")
 def m15(spark, d):
+    """Topics of all abstracts over a sweep of their number: terms, and how often a topic's terms occur together.
+
+    Coherence is the mean logarithm of (documents with both terms + 1) to (documents with the more frequent one).
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    p = table(spark, d, "papers", "paper_id", "abstract").where("length(abstract) > 100").select("paper_id", F.regexp_extract_all(F.lower("abstract"), F.lit("[a-z]{4,}"), 0).alias("w"))
-    cv = CountVectorizer(inputCol="w", outputCol="features", vocabSize=500).fit(p)
-    model = LDA(k=4, maxIter=3, seed=3).fit(cv.transform(p))
-    return model.describeTopics(5).select("topic", F.transform("termIndices", lambda i: F.element_at(F.lit(cv.vocabulary), i + 1)).alias("terms"))
-
-
-@add("m7_ridge_regression", "select round(regr_slope(c_acctbal, c_nationkey), 6) as slope, count(*) as n from customer")
-def m7(spark, d):
-    return table(spark, d, "customer", "c_acctbal", "c_nationkey").agg(F.round(F.regr_slope("c_acctbal", "c_nationkey"), 6).alias("slope"), F.count(F.lit(1)).alias("n"))
-
+    from lodestone.session import cut
 
-@add("m8_triangle_clustering", "with p as (select distinct x.physical_quantity as a, y.physical_quantity as b from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity <> y.physical_quantity) select x.a as node, count(*) // 2 as triangles from p x join p y on x.b = y.a join p z on y.b = z.a and z.b = x.a group by 1")
-def m8(spark, d):
-    return gr.triangle_clustering(_quantity_graph(spark, d)).where("triangles > 0").select("node", "triangles")
+    p = cut(table(spark, d, "papers", "paper_id", "abstract").where("abstract <> ''").select("paper_id", F.regexp_extract_all(F.lower("abstract"), F.lit("[a-z]{4,}"), 0).alias("w")).where(F.size("w") > 0))
+    if p.isEmpty():
+        return spark.createDataFrame([], "topics int, topic int, terms array<string>, coherence double")
+    cv = CountVectorizer(inputCol="w", outputCol="features", minDF=2.0).fit(p)
+    x = cv.transform(p)
+    out = None
+    for k in (3, 5):
+        model = LDA(k=k, maxIter=20, seed=3, optimizer="online").fit(x)
+        t = model.describeTopics(5).select(F.lit(k).alias("topics"), "topic", F.transform("termIndices", lambda i: F.element_at(F.lit(cv.vocabulary), i + 1)).alias("terms"))
+        out = t if out is None else out.unionByName(t)
+    out = cut(out)
+    pairs = out.select("topics", "topic", F.explode("terms").alias("a"), "terms").select("topics", "topic", "a", F.explode("terms").alias("b")).where("a < b")
+    wanted = [r["a"] for r in out.select(F.explode("terms").alias("a")).distinct().collect()]  # five terms a topic
+    held = p.select("paper_id", F.explode(F.array_intersect(F.array_distinct("w"), F.array(*[F.lit(w) for w in wanted]))).alias("a"))
+    df = held.groupBy("a").agg(F.count(F.lit(1)).alias("df"))
+    both = held.join(held.withColumnRenamed("a", "b"), "paper_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    s = pairs.join(both, ["a", "b"], "left").join(df.withColumnRenamed("df", "da"), "a").join(df.withColumnsRenamed({"a": "b", "df": "db"}), "b")
+    c = s.groupBy("topics", "topic").agg(F.round(F.avg(F.log((F.coalesce("both", F.lit(0)) + 1) / F.greatest("da", "db"))), 6).alias("coherence"))
+    return out.join(c, ["topics", "topic"], "left")
 
 
 QUERIES, ORACLE = C.queries, C.oracle

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import top_per_key
+from lodestone.session import cut
 
-def insert_or_ignore(new: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not stored yet; returns them. Of equal new keys one row is kept.
+
+def insert_or_ignore(new: DataFrame, path: str, key: str, order: str | None = None) -> DataFrame:
+    """Append the rows whose key is not stored yet; returns them. Of equal new keys one row is kept, with ``order`` the first
+    in it.
 
     Rows with null key are ignored. The stored side contributes only its key column to the anti join.
     """
     spark = new.sparkSession
-    fresh = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+    fresh = new.where(F.col(key).isNotNull())
+    fresh = top_per_key(fresh, [key], [F.col(order)], 1) if order else fresh.dropDuplicates([key])
     try:
         stored = spark.read.parquet(path).select(key)
     except Exception:  # noqa: BLE001 - nothing stored yet
@@ -28,6 +33,22 @@ def replace_keys(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def upsert(rows: DataFrame, path: str, keys: list[str], order: str) -> None:
+    """Write the last row of each key in ``order``, in place of what is stored for it; what is stored for others stays.
+
+    The merged state is checkpointed before the stored one is overwritten.
+    """
+    spark = rows.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing stored yet
+        stored = None
+    new = top_per_key(rows, keys, [F.desc(order)], 1)
+    if stored is not None:
+        new = cut(new.unionByName(stored.join(new.select(*keys), keys, "left_anti")))
+    new.write.mode("overwrite").parquet(path)
+
+
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
