@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ["extraction", "aggregates", "scalars", "relations", "more", "retrieval", "graphs", "dealt"]
+_MODULES = ["extraction", "aggregates", "scalars", "relations", "more", "retrieval", "graphs", "documents", "dealt"]
 
 
 def _catalogues() -> list:

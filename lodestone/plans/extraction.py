@@ -65,12 +65,6 @@ def s9(spark, d):
     return m.select("material_id", F.explode(names).alias("n")).select("material_id", F.trim("n").alias("name")).distinct()
 
 
-@add("s10_column_profile", "select 'size_bytes' as col, count(size_bytes) as n, min(size_bytes) as lo, max(size_bytes) as hi from papers union all select 'pages', count(pages), min(pages), max(pages) from papers")
-def s10(spark, d):
-    p = table(spark, d, "papers", "size_bytes", "pages").select(F.col("size_bytes").cast("long"), F.col("pages").cast("long")).unpivot([], ["size_bytes", "pages"], "col", "v")
-    return p.groupBy("col").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-
-
 @add("s13_blank_line_split", "select doc_id, trim(p, ' ') as part from (select doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) as p from documents where text is not null) where trim(p, ' ') <> ''")
 def s13(spark, d):
     parts = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("p"))
@@ -126,17 +120,6 @@ def p37(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(tx.word_set(F.col("text"))).alias("words"))
 
 
-@add("x40_fixed_chunks", "select chunk_id, i as chunk_no, substring(content, i * 350 + 1, 400) as piece from (select chunk_id, content, unnest(range(0, greatest(length(content) - 1, 0) // 350 + 1)) as i from (select distinct chunk_id, content from chunks) where content is not null)")
-def p40(spark, d):
-    c = table(spark, d, "chunks", "chunk_id", "content").where("content is not null").distinct()
-    return c.select("chunk_id", F.posexplode(tx.chunk_array(F.col("content"), 400, 50)).alias("chunk_no", "piece")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
-
-
-@add("x45_extractive_summary")
-def p45(spark, d):
-    return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", tx.extractive_summary(F.col("text"), vo.SUMMARY_WORDS).alias("summary"))
-
-
 _CLAIM = r"(?:The|the) ([a-z]+ [a-z]+) (reduces|increases|controls|governs|limits) (?:the |every )?([a-z]+ [a-z]+)"
 
 
@@ -152,11 +135,6 @@ def p51(spark, d):
 _W3 = r"[a-z-]+ (?:grain|pore|crack) [a-z-]+"
 
 
-@add("x52_keyword_window", f"select distinct page_id, w from (select page_id, unnest(regexp_extract_all(lower(text), '{_W3}')) as w from pages_text) where length(w) > 3")
-def p52(spark, d):
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_W3), 0))).alias("w")).where(F.length("w") > 3)
-
-
 @add("x57_equal_width_bins", "select item_id, cast(least(floor((confidence - lo) / ((hi - lo) / 5)), 4) as int) as bin from (select distinct item_id, confidence from facts where confidence is not null), (select min(confidence) as lo, max(confidence) as hi from facts)")
 def p57(spark, d):
     from lodestone.operators.ranking import equal_width_bins

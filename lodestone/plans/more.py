@@ -19,11 +19,6 @@ C = Catalogue()
 add = C.add
 
 
-@add("s4_raw_pages", "select filename, count(*) as pages, sum(length(coalesce(text, ''))) as chars from pages_text group by 1")
-def s4(spark, d):
-    return table(spark, d, "pages_text", "filename", "text").groupBy("filename").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-
-
 @add("s15_demo_graph", "select i as src, (i * 7 + 3) % 20 as dst from range(0, 20) r(i)")
 def s15(spark, d):
     return spark.range(20).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 20).alias("dst"))
@@ -48,36 +43,9 @@ def p24(spark, d):
     return st.alias_normalise(terms, "t", names, "a", "q").select("physical_quantity", F.col("normal").alias("concept"))
 
 
-@add("x42_bibliography", "select paper_id, nullif(regexp_extract(subject, '^(.*?) ((?:19|20)\\d{2})$', 1), '') as journal, nullif(regexp_extract(subject, '^(.*?) ((?:19|20)\\d{2})$', 2), '') as year, trim(string_split(authors, ';')[1]) as first_author from papers")
-def p42(spark, d):
-    p = r"^(.*?) ((?:19|20)\d{2})$"
-    return table(spark, d, "papers", "paper_id", "subject", "authors").select("paper_id", tx.first_match(F.col("subject"), p, 1).alias("journal"), tx.first_match(F.col("subject"), p, 2).alias("year"), F.trim(F.get(F.split("authors", ";"), F.lit(0))).alias("first_author"))
-
-
-@add("x49_table_cells", "select page_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '^[0-9.]+$'))) as cells from pages_text where text is not null")
-def p49(spark, d):
-    return table(spark, d, "pages_text", "page_id", "text").where("text is not null").select("page_id", F.size(F.filter(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda x: x.rlike("^[0-9.]+$"))).alias("cells"))
-
-
 _INLINE = r"([a-z]+ [a-z]+) (?:of|reached|was) ([0-9]+(?:\.[0-9]+)?) "
 
 
-@add("x50_inline_properties", f"select page_id, p, v from (select page_id, unnest(regexp_extract_all(text, '{_INLINE}', 1)) as p, unnest(regexp_extract_all(text, '{_INLINE}', 2)) as v from pages_text)")
-def p50(spark, d):
-    z = F.arrays_zip(F.regexp_extract_all("text", F.lit(_INLINE), 1).alias("p"), F.regexp_extract_all("text", F.lit(_INLINE), 2).alias("v"))
-    return table(spark, d, "pages_text", "page_id", "text").select("page_id", F.explode(z).alias("z")).select("page_id", "z.p", "z.v")
-
-
-@add("x54_phrase_concepts", "select distinct paper_id, c from (select paper_id, unnest(regexp_extract_all(lower(title), '[a-z]+ (?:structure|pattern|boundary|layer|region|zone)')) as c from papers) where len(string_split(c, ' ')) >= 2")
-def p54(spark, d):
-    return table(spark, d, "papers", "paper_id", "title").select("paper_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+ (?:structure|pattern|boundary|layer|region|zone)"), 0))).alias("c")).where(F.size(F.split("c", " ")) >= 2)
-
-
-@add("x63_strict_extractor", "select distinct value_id from extracted_values where value <> 0 and regexp_matches(unit, '^(W|kW|mW|MW)') and contains(lower(context), 'power')")
-def p63(spark, d):
-    return table(spark, d, "extracted_values", "value_id", "value", "unit", "context").where((F.col("value") != 0) & F.col("unit").rlike("^(W|kW|mW|MW)") & F.lower("context").contains("power")).select("value_id").distinct()
-
-
 @add("x66_quantity_schema", "select physical_quantity, base_unit, len(string_split(other_names, ';')) as aliases from quantity_units")
 def p66(spark, d):
     return table(spark, d, "quantity_units", "physical_quantity", "base_unit", "other_names").select("physical_quantity", "base_unit", F.size(F.split("other_names", ";")).alias("aliases"))
@@ -102,12 +70,6 @@ def p70(spark, d):
     return table(spark, d, "extracted_values", "parameter_name", "unit").where("parameter_name is not null and unit is not null").groupBy("parameter_name").agg(F.array_join(F.array_sort(F.collect_set("unit")), ", ").alias("units"))
 
 
-@add("x71_fuzzy_section", "select distinct section_title, contains(lower(section_title), 'result') or contains(lower(section_title), 'discuss') as found from facts where section_title is not null")
-def p71(spark, d):
-    s = F.lower("section_title")
-    return table(spark, d, "facts", "section_title").where("section_title is not null").distinct().select("section_title", (s.contains("result") | s.contains("discuss")).alias("found"))
-
-
 @add("j4_copair_counts", "with s as (select distinct source_citation as doc, phase as p from alloy_properties where phase is not null and source_citation is not null) select x.p as a, y.p as b, count(*) as docs from s x join s y on x.doc = y.doc and x.p < y.p group by 1, 2")
 def j4(spark, d):
     from lodestone.operators.facts import cooccurrence
@@ -115,18 +77,6 @@ def j4(spark, d):
     return cooccurrence(table(spark, d, "alloy_properties", "phase", "source_citation").where("source_citation is not null"), "phase", "source_citation")
 
 
-@add("g34_material_features", "select material, round(ln(1 + count(*) filter (method_origin = 'nanoindentation')), 9) as m1, round(ln(1 + count(distinct doc_name)), 9) as docs from (select distinct * from extracted_values) where material is not null group by 1")
-def g34(spark, d):
-    e = table(spark, d, "extracted_values").distinct().where("material is not null")
-    return e.groupBy("material").agg(F.round(F.log1p(F.count_if(F.col("method_origin") == "nanoindentation")), 9).alias("m1"), F.round(F.log1p(F.count_distinct("doc_name")), 9).alias("docs"))
-
-
-@add("g42_short_labels", "select feed, 'Doc ' || row_number() over (order by feed) as label from feeds")
-def g42(spark, d):
-    names = table(spark, d, "feeds", "feed").agg(F.array_sort(F.collect_set("feed")).alias("n"))
-    return names.select(F.posexplode("n").alias("i", "feed")).select("feed", F.concat(F.lit("Doc "), F.col("i") + 1).alias("label"))
-
-
 @add("g45_document_entity_counts", f"select doc, material, count(*) as n from {_F} where material is not null group by 1, 2")
 def g45(spark, d):
     return facts(spark, d, "item_id", "doc", "material").where("material is not null").groupBy("doc", "material").agg(F.count(F.lit(1)).alias("n"))
@@ -149,14 +99,6 @@ def g50(spark, d):
     return e.join(F.broadcast(q)).agg(F.round(F.avg(dot(unit(F.col("embedding")), unit(F.col("q")))), 9).alias("relevance"))
 
 
-@add("g53_mode_profile", "with p as (select parameter_name from (select distinct * from extracted_values) where parameter_name is not null group by 1 order by count(*) desc, parameter_name limit 5), m as (select e.parameter_name, max(abs(value)) as big from extracted_values e join p using (parameter_name) group by 1) select phase, e.parameter_name, round(avg(value) / greatest(1, max(big)), 9) as cell from (select distinct * from extracted_values) e join m using (parameter_name) where value is not null and phase is not null group by 1, 2")
-def g53(spark, d):
-    e = table(spark, d, "extracted_values").distinct()
-    top = e.where("parameter_name is not null").groupBy("parameter_name").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("big")).orderBy(F.desc("n"), "parameter_name").limit(5)
-    g = e.where("value is not null and phase is not null").join(F.broadcast(top), "parameter_name").groupBy("phase", "parameter_name").agg(F.avg("value").alias("mean"), F.max("big").alias("big"))
-    return g.select("phase", "parameter_name", F.round(F.col("mean") / F.greatest(F.lit(1), F.col("big")), 9).alias("cell"))
-
-
 @add("w4_top_subgraph", "with e as (select x.physical_quantity as a, y.physical_quantity as b, count(distinct x.doc_name) as w from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity <> y.physical_quantity group by 1, 2) select a as node, sum(w) as degree from e group by 1 order by degree desc, node limit 5")
 def w4(spark, d):
     pairs = k4(spark, d)
@@ -228,12 +170,6 @@ def stream_sessions(spark, d):
     return ingest.session_counts(table(spark, d, "events", "ts", "user_id"), "ts", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
-@add("s5_markdown_pages", "select doc_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '^(#+|[-*]) '))) as marked from documents where text is not null")
-def s5(spark, d):
-    lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^(#+|[-*]) "))).alias("marked"))
-
-
 @add("s7_load_and_chunk", "select doc_id, i as chunk_no, substring(text, i * 450 + 1, 500) as piece from (select doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 450 + 1)) as i from documents where text is not null)")
 def s7(spark, d):
     x = table(spark, d, "documents", "doc_id", "text").where("text is not null")

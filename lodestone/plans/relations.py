@@ -46,12 +46,6 @@ def f6(spark, d):
     return f.orderBy(F.col("value").isNotNull().desc(), "item_id").limit(25).select("item_id")
 
 
-@add("f7_min_frequency_terms", "select material, count(*) as n from (select distinct item_id, material from facts) where material is not null and len(string_split(material, ' ')) <= 3 group by 1 having count(*) >= 5")
-def f7(spark, d):
-    f = table(spark, d, "facts", "item_id", "material").distinct().where(F.col("material").isNotNull() & (F.size(F.split("material", " ")) <= 3))
-    return f.groupBy("material").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-
-
 @add("f8_excluded_terms", "select distinct material from facts where material is not null and lower(trim(material)) not in ('unknown', 'n/a', '')")
 def f8(spark, d):
     return table(spark, d, "facts", "material").where(~F.lower(F.trim("material")).isin("unknown", "n/a", "")).distinct()
@@ -230,12 +224,6 @@ def g36(spark, d):
     return retrieval_metrics(r.select("query", "rank", (F.col("ql") == F.col("kl")).cast("int").alias("relevant")), 5)
 
 
-@add("g38_field_errors", "select l_returnflag, round(sqrt(avg(pow(l_discount - l_tax, 2))), 9) as rmse, round(avg(abs(l_discount - l_tax)), 9) as mae from lineitem group by 1")
-def g38(spark, d):
-    e = F.col("l_discount") - F.col("l_tax")
-    return table(spark, d, "lineitem", "l_returnflag", "l_discount", "l_tax").groupBy("l_returnflag").agg(F.round(F.sqrt(F.avg(e * e)), 9).alias("rmse"), F.round(F.avg(F.abs(e)), 9).alias("mae"))
-
-
 @add("g40_graph_metrics", "with p as (select distinct x.physical_quantity as a, y.physical_quantity as b from extracted_values x join extracted_values y on x.doc_name = y.doc_name and x.physical_quantity < y.physical_quantity), n as (select a as v from p union select b from p), c as (select (select count(*) from n) as nodes, (select count(*) from p) as edges) select nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 9) as density, round(2.0 * edges / nodes, 9) as mean_degree from c")
 def g40(spark, d):
     m = gr.graph_metrics(_quantity_graph(spark, d))

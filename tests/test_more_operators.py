@@ -207,3 +207,30 @@ def test_units_with_no_stated_one_and_the_same_model_for_any_partitions(spark):
         p = prepare(df.repartition(n), units)
         got.append({r["row_id"]: (r["factor"], r["decision"]) for r in infer_units(with_context_unit(p.where("missing")), fit_unit_model(p)).collect()})
     assert got[0] == got[1] and "convert" in {d for _, d in got[0].values()}
+
+
+def test_recursive_chunks():
+    from lodestone.operators.chunking import recursive_chunks
+
+    rng = random.Random(7)
+    for _ in range(60):
+        t = "".join(rng.choice(["word ", "a. ", "b; ", "c, ", "\n", "\n\n", "xyz"]) for _ in range(rng.randrange(400)))
+        chunks = recursive_chunks(t, 60, 15)
+        longest = max((len(x) for x in re.split(r"\n|(?<=[.;,] )", t)), default=0)
+        assert all(c and len(c) <= max(60, longest) for c in chunks)
+        assert set(re.findall("[a-z]+", t)) <= set(re.findall("[a-z]+", " ".join(chunks)))
+    assert recursive_chunks("one. two. three.", 10, 5) == ["one. two.", "two.", "three."] or recursive_chunks("one. two. three.", 10, 5) == ["one. two.", "three."]
+    assert recursive_chunks("", 10, 2) == [] and recursive_chunks("x" * 30, 10, 2) == ["x" * 30]
+
+
+def test_values_are_converted_though_no_unit_is_stated(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    spark.createDataFrame([("laser_power", "W", "beam power")], "physical_quantity string, base_unit string, other_names string").write.parquet(str(tmp_path / "quantity_units.parquet"))
+    fields = "value double, unit string, physical_quantity string, context string, {} string"
+    spark.createDataFrame([(1, 3.0, None, "beam power", "it was 3 kW there", "m"), (2, 4.0, "", "beam power", "it was 4", "m")], "item_id long, " + fields.format("method")).write.parquet(str(tmp_path / "facts.parquet"))
+    spark.createDataFrame([], "value_id long, " + fields.format("method_origin")).write.parquet(str(tmp_path / "extracted_values.parquet"))
+    q = catalogue.queries()
+    assert [tuple(r) for r in q["p4_found"](spark, str(tmp_path)).collect()] == [("facts", 1, "laser_power", "3.000e+03")]
+    assert {(r["row_id"], r["decision"]) for r in q["p4_review"](spark, str(tmp_path)).collect()} == {(1, "convert"), (2, "review")}
+    assert q["p4_hidden_units"](spark, str(tmp_path)).count() == 0
