@@ -37,7 +37,7 @@ class UnitModelParams:
     trees: int = 24
     depth: int = 7
     confident: float = 0.5
-    silent: float = 0.9
+    silent: float = 0.95
     seed: int = 7
 
 
