@@ -76,24 +76,6 @@ def test_one_window_per_occurrence(spark, tmp_path):
     assert raw[3, 286] == ("6 × 10^3 kHz", "6 × 10^3", "kHz") and raw[0, 11] == ("3.5 MPa", "3.5", "MPa")
 
 
-def test_new_names_decimals_and_variants_are_found(spark):
-    from lodestone.llm import leaks
-
-    item = "In the shop a plate of Hestralloy is kept for 3.5 seconds below a 926 watt beam"
-    long = "We saw how the plate of Hestralloy was kept for 56 seconds below a beam of 926 watt until it moved away"
-    docs = [
-        (1, item.replace("Hestralloy", "Quorvium")),
-        (2, item.replace("3.5", "4")),
-        (3, long.replace("56", "31") + " and then nothing more. " + long.replace("56", "77")),
-        (4, long.replace("56", "31").replace("Hestralloy", "quorvium")),
-        (5, item),
-    ]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    q = spark.createDataFrame([(8, item), (9, long)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.reparameterised_items(d, "doc_id", q, "item_id").collect()}
-    assert got == {(1, 8), (2, 8), (3, 9), (4, 9)}
-
-
 def test_ties_go_to_the_smaller_key_in_any_batch(spark):
     v = [1.0, 2.0, 3.0]
     ids = np.random.default_rng(1).permutation(400).tolist()
