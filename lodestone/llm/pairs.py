@@ -59,7 +59,7 @@ def parity_bitmap(g: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, size: int, least: int) -> DataFrame:
-    """(tbl, id, n, sig, grams, b0..b3) of every text of (tbl, id, t) with at least ``least`` distinct n-grams."""
+    """(tb, id, n, sig, grams, b0..b3) of every text of (tb, id, t) with at least ``least`` distinct n-grams."""
 
     def sets(batches):
         import xxhash
@@ -79,11 +79,11 @@ def shingle_sets(df: DataFrame, size: int, least: int) -> DataFrame:
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32())), pa.array(n, pa.int32()), pa.array(sig, pa.string()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), *(pa.array(bits[:, i]) for i in range(4))],
-                names=["tbl", "id", "n", "sig", "grams", "b0", "b1", "b2", "b3"],
+                names=["tb", "id", "n", "sig", "grams", "b0", "b1", "b2", "b3"],
             )
 
     # distinct word n-grams need at least as many words, so shorter texts cannot qualify
-    return df.where(F.length("t") >= 2 * least).mapInArrow(sets, "tbl string, id long, n int, sig string, grams array<long>, b0 long, b1 long, b2 long, b3 long")
+    return df.where(F.length("t") >= 2 * least).mapInArrow(sets, "tb int, id long, n int, sig string, grams array<long>, b0 long, b1 long, b2 long, b3 long")
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
@@ -131,15 +131,20 @@ def packed_sketch(counts: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(reps: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
+    """(g, id, size, place, b0..b3) of each n-gram in the part of a set that a partner must reach.
+
+    ``g`` mixes table, n-gram and pair of blocks, ``size`` holds the set's size and the n-gram's depth, ``place`` the table
+    and the set's own block (0: the list is not split), so that a posting is eight numbers and sorts by two of them.
+    """
     shared = reps.sparkSession.sparkContext.broadcast(sketch)
 
     def post(batches):
         codes = shared.value
         for b in batches:
-            gram, ids, n, pos, bits, tbl, lo, hi, block = [], [], [], [], [], [], [], [], []
+            gram, ids, size, place, bits = [], [], [], [], []
             off = b.column(3).offsets.to_numpy()
             flat = b.column(3).values.to_numpy()
-            rid = b.column(1).to_numpy()
+            rid, tb = b.column(1).to_numpy(), b.column(0).to_numpy().astype(np.int64)
             bm = np.stack([b.column(4 + i).to_numpy() for i in range(4)], axis=1)
             for i in range(b.num_rows):
                 g = flat[off[i] : off[i + 1]]
@@ -153,36 +158,32 @@ def _postings(reps: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
                 gg, cc = g[order[use]], c[order[use]]
                 # the sketch's upper bound of a list's length tells into how many blocks it is split
                 blocks = np.ceil(np.exp2((cc.astype(float) - 1) / 8) / BLOCK).astype(np.int64)
-                mine = (int(rid[i]) * 0x9E3779B97F4A7C15 & _MASK) >> 20
+                pair = np.zeros(len(use), np.int64)
+                own = np.zeros(len(use), np.int64)
                 if (blocks > 1).any():
+                    mine = (int(rid[i]) * 0x9E3779B97F4A7C15 & _MASK) >> 20
                     at = np.repeat(np.arange(len(use)), blocks)
                     other = np.concatenate([np.arange(x) for x in blocks])
-                    own = mine % np.repeat(blocks, blocks)
+                    mine = mine % np.repeat(blocks, blocks)
                     use, gg = use[at], gg[at]
-                    lo.append(np.minimum(own, other)), hi.append(np.maximum(own, other)), block.append(own)
-                else:
-                    zero = np.zeros(len(use), np.int64)
-                    lo.append(zero), hi.append(zero), block.append(zero)
-                gram.append(gg), pos.append(use)
-                k = len(use)
-                ids.append(np.full(k, rid[i])), n.append(np.full(k, len(g))), bits.append(np.broadcast_to(bm[i], (k, 4))), tbl.append(np.full(k, i))
-            if not gram:
-                continue
-            bits = np.concatenate(bits)
-            cat = np.concatenate
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cat(tbl).astype(np.int32))), pa.array(cat(gram)), pa.array(cat(lo).astype(np.int32)), pa.array(cat(hi).astype(np.int32)), pa.array(cat(block).astype(np.int32)), pa.array(cat(ids)), pa.array(cat(n).astype(np.int32)), pa.array(cat(pos).astype(np.int32)), *(pa.array(bits[:, j].copy()) for j in range(4))],
-                names=["tbl", "gram", "lo", "hi", "block", "id", "n", "pos", "b0", "b1", "b2", "b3"],
-            )
-
-    return reps.select("tbl", "id", "n", "grams", "b0", "b1", "b2", "b3").mapInArrow(post, "tbl string, gram long, lo int, hi int, block int, id long, n int, pos int, b0 long, b1 long, b2 long, b3 long")
-
-
-def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: Fraction, most: int = 1_500_000):
-    """Candidate pairs within the runs [start, end) of rows of equal node, after the length and bitmap bounds."""
-    n, pos, ids = df["n"].to_numpy().astype(np.int64), df["pos"].to_numpy().astype(np.int64), df["id"].to_numpy()
-    bits = df[["b0", "b1", "b2", "b3"]].to_numpy().view(np.uint64)
-    lo, hi = df["lo"].to_numpy(), df["hi"].to_numpy()
+                    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+                    pair, own = lo << 24 | hi, np.where(hi > lo, mine + 1, 0)
+                with np.errstate(over="ignore"):
+                    mixed = (gg ^ pair * np.int64(0x2545F4914F6CDD1D) ^ tb[i] * np.int64(0x5851F42D4C957F2D)) * np.int64(-7046029254386353131)
+                gram.append(mixed ^ mixed >> np.int64(29)), size.append(len(g) << 32 | use), place.append(tb[i] << 32 | own)
+                ids.append(np.full(len(use), rid[i])), bits.append(np.broadcast_to(bm[i], (len(use), 4)))
+            if gram:
+                bits, cat = np.concatenate(bits), np.concatenate
+                yield pa.RecordBatch.from_arrays([*(pa.array(cat(x)) for x in (gram, ids, size, place)), *(pa.array(bits[:, j].copy()) for j in range(4))], names=["g", "id", "size", "place", "b0", "b1", "b2", "b3"])
+
+    return reps.select("tb", "id", "n", "grams", "b0", "b1", "b2", "b3").mapInArrow(post, "g long, id long, size long, place long, b0 long, b1 long, b2 long, b3 long")
+
+
+def _pairs_of_runs(f: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, t: Fraction, most: int = 1_500_000):
+    """Candidate pairs (table, smaller id, larger id) within the runs [start, end) of rows of equal node, after the length
+    and bitmap bounds."""
+    n, pos, ids, bits = f["size"] >> 32, f["size"] & 0xFFFFFFFF, f["id"], f["bits"]
+    tb, own = f["place"] >> 32, f["place"] & 0xFFFFFFFF
     # rows of a run are sorted by set size; row i is the smaller set of its pairs, so only partners up to the largest
     # size that its remaining length still allows are met
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, int)
@@ -208,47 +209,54 @@ def _pairs_of_runs(df: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: Fr
         a, b, need = a[ok], b[ok], need[ok]
         if len(a):
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
-            ok = differ <= n[a] + n[b] - 2 * need
             # a pair of two blocks is met where both rows are of different blocks; rows of one block meet in its own
+            ok = (differ <= n[a] + n[b] - 2 * need) & (ids[a] != ids[b]) & (tb[a] == tb[b]) & ((own[a] == 0) | (own[a] != own[b]))
             a, b = a[ok], b[ok]
-            if (hi[a] > lo[a]).any():
-                blocks_a = df["block"].to_numpy()
-                same = blocks_a[a] == blocks_a[b]
-                ok = (lo[a] == hi[a]) | ~same
-                a, b = a[ok], b[ok]
-            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), a
+            if len(a):
+                yield tb[a], np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
 def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
-    """Distinct (tbl, a, b), a < b, of sets that may reach Jaccard similarity ``t``; none that does is missing."""
-    sketch = frequency_sketch(reps)
-    postings = _postings(reps, sketch, t)
-    keys = ["tbl", "gram", "lo", "hi"]
+    """Distinct (tb, a, b), a < b, of sets (tb, id, n, grams, b0..b3) that may reach Jaccard similarity ``t``; none that does
+    is missing."""
+    postings = _postings(reps, frequency_sketch(reps), t)
+    names = ["g", "id", "size", "place"]
 
-    def join(frames):
+    def join(batches):
+        """Rows come sorted by node; a node's rows may go over the end of a batch."""
         rest = None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            codes = f["gram"].to_numpy()
-            change = np.flatnonzero((codes[1:] != codes[:-1]) | (f["lo"].to_numpy()[1:] != f["lo"].to_numpy()[:-1]) | (f["hi"].to_numpy()[1:] != f["hi"].to_numpy()[:-1]) | (f["tbl"].to_numpy()[1:] != f["tbl"].to_numpy()[:-1])) + 1
+        for b in batches:
+            f = {c: b.column(i).to_numpy() for i, c in enumerate(names)}
+            f["bits"] = np.stack([b.column(4 + i).to_numpy() for i in range(4)], axis=1).view(np.uint64)
+            if rest is not None:
+                f = {c: np.concatenate([rest[c], f[c]]) for c in f}
+            change = np.flatnonzero(f["g"][1:] != f["g"][:-1]) + 1
             if not len(change):
                 rest = f
                 continue
-            rest, f = f.iloc[change[-1] :].reset_index(drop=True), f.iloc[: change[-1]]
-            yield from _emit(f, np.concatenate([[0], change[:-1]]), change, t)
-        if rest is not None:
-            yield from _emit(rest, np.array([0]), np.array([len(rest)]), t)
+            rest = {c: x[change[-1] :] for c, x in f.items()}
+            yield from _emit({c: x[: change[-1]] for c, x in f.items()}, np.concatenate([[0], change[:-1]]), change, t)
+        if rest is not None and len(rest["g"]):
+            yield from _emit(rest, np.array([0]), np.array([len(rest["g"])]), t)
 
-    nodes = postings.repartition(*keys).sortWithinPartitions(*keys, "n")
-    return nodes.mapInPandas(join, "tbl string, a long, b long").distinct()
+    nodes = postings.repartition("g").sortWithinPartitions("g", "size")
+    return nodes.mapInArrow(join, "tb int, a long, b long").distinct()
 
 
-def _emit(f: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, t: Fraction):
+def _emit(f: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, t: Fraction):
     several = ends - starts > 1
-    tbl = f["tbl"].to_numpy()
-    for a, b, row in _pairs_of_runs(f, starts[several], ends[several], t):
-        if len(a):
-            yield pd.DataFrame({"tbl": tbl[row], "a": a, "b": b}).drop_duplicates()
+    for tb, a, b in _pairs_of_runs(f, starts[several], ends[several], t):
+        d = pd.DataFrame({"tb": tb.astype(np.int32), "a": a, "b": b}).drop_duplicates()
+        yield pa.RecordBatch.from_pandas(d, preserve_index=False)
+
+
+#: Rows (table, id) that may be broadcast: some 24 bytes each.
+MOST_ROWS = 300_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are a table number and an id, to be broadcast if they are ``MOST_ROWS`` at most; else to be shuffled."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
 
 
 def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -264,20 +272,27 @@ def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least:
     t = Fraction(str(threshold)).limit_denominator(10_000)
     if not 0 < t <= 1:
         raise ValueError("needs a threshold above 0 and at most 1")
-    sets = shingle_sets(df.select("tbl", "id", "t").where("t is not null and id is not null"), size, least)
-    sets = cut(sets)
-    # rows of one signature hold the same set, so any of them stands for the class; the map side already keeps one
-    same = [F.first(c).alias(c) for c in ("n", "grams", "b0", "b1", "b2", "b3")]
-    reps = cut(sets.groupBy("tbl", "sig").agg(F.min("id").alias("id"), *same))
-    members = sets.select("tbl", "sig", "id").join(reps.select("tbl", "sig", F.col("id").alias("rep")), ["tbl", "sig"]).select("tbl", "id", "rep").distinct()
+    src = df.select("tbl", "id", "t").where("t is not null and id is not null and tbl is not null")
+    names = sorted(r["tbl"] for r in df.select("tbl").where("tbl is not null").distinct().collect())  # the few tables that are joined
+    number = F.lit(None).cast("int")
+    for i, name in enumerate(names):
+        number = F.when(F.col("tbl") == name, i).otherwise(number)
+    sets = cut(shingle_sets(src.select(number.alias("tb"), "id", "t"), size, least))
+    # rows of one signature hold the same set; its smallest id stands for it, and only ids and signatures are shuffled
+    classes = sets.groupBy("tb", "sig").agg(F.min("id").alias("rep"))
+    members = cut(sets.select("tb", "sig", "id").join(classes, ["tb", "sig"]).select("tb", "id", "rep").distinct())
+    others = cut(members.where("id <> rep").select("tb", "id"))
+    reps = sets.select("tb", "id", "n", "grams", "b0", "b1", "b2", "b3").join(_bounded(others), ["tb", "id"], "left_anti")
     cand = cut(candidate_pairs(reps, t))
-    used = cand.select("tbl", F.col("a").alias("id")).union(cand.select("tbl", F.col("b").alias("id"))).distinct()
-    slim = reps.select("tbl", "id", "grams").join(used, ["tbl", "id"], "left_semi")
-    pairs = cand.join(slim.select("tbl", F.col("id").alias("a"), F.col("grams").alias("ga")), ["tbl", "a"]).join(slim.select("tbl", F.col("id").alias("b"), F.col("grams").alias("gb")), ["tbl", "b"])
+    used = cut(cand.select("tb", F.explode(F.array("a", "b")).alias("id")).distinct())
+    slim = reps.select("tb", "id", "grams").join(_bounded(used), ["tb", "id"], "left_semi").dropDuplicates(["tb", "id"])
+    pairs = cand.join(slim.select("tb", F.col("id").alias("a"), F.col("grams").alias("ga")), ["tb", "a"]).join(slim.select("tb", F.col("id").alias("b"), F.col("grams").alias("gb")), ["tb", "b"])
     common = F.size(F.array_intersect("ga", "gb"))
     pairs = pairs.withColumn("common", common).withColumn("jaccard", F.col("common") / (F.size("ga") + F.size("gb") - F.col("common")))
+    tbl = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tb") + 1) if names else F.lit(None).cast("string")
+    members = members.select(tbl.alias("tbl"), "id", "rep")
     union = F.size("ga").cast("long") + F.size("gb") - F.col("common")
-    links = pairs.where(F.col("common").cast("long") * t.denominator >= union * t.numerator).select("tbl", "a", "b", "jaccard")
+    links = pairs.where(F.col("common").cast("long") * t.denominator >= union * t.numerator).select(tbl.alias("tbl"), "a", "b", "jaccard")
     return members, links
 
 
