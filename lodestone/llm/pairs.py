@@ -9,7 +9,6 @@ the full sets.
 
 from __future__ import annotations
 
-import re
 from fractions import Fraction
 
 import numpy as np
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, ship
 
-_WORDS = re.compile("[a-z0-9]+")
+#: Every byte but a-z and 0-9 separates words.
+_SEPARATED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 #: Counters of the frequency sketch that defines the global order; one byte each, so 4 MB whatever the corpus.
 SKETCH_BITS = 22
 #: Rows of one posting list handled together; longer lists are split into blocks of this size.
@@ -28,7 +28,12 @@ BLOCK = 2048
 _MASK = (1 << 64) - 1
 
 
-def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
+def words_of(text: str) -> list[bytes]:
+    """Runs of a-z and 0-9 of the lower-cased text."""
+    return text.lower().encode("ascii", "replace").translate(_SEPARATED).split()
+
+
+def word_hashes(words: list, cache: dict) -> np.ndarray:
     """64-bit hash of each word; ``cache`` keeps those already computed."""
     import xxhash
 
@@ -37,9 +42,9 @@ def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(text: str, size: int, cache: dict[str, int]) -> np.ndarray:
+def shingle_set(text: str, size: int, cache: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct hashes of the word ``size``-grams of a text (words: runs of a-z and 0-9 after lower-casing)."""
-    h = word_hashes(_WORDS.findall(text.lower()), cache)
+    h = word_hashes(words_of(text), cache)
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -64,7 +69,7 @@ def shingle_sets(df: DataFrame, size: int, least: int) -> DataFrame:
     def sets(batches):
         import xxhash
 
-        cache: dict[str, int] = {}
+        cache: dict[bytes, int] = {}
         for b in batches:
             keep, n, sig, grams, bits = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):

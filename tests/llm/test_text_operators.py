@@ -370,3 +370,11 @@ def test_new_names_decimals_and_variants_are_found(spark):
     q = spark.createDataFrame([(8, item), (9, long)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in leaks.reparameterised_items(d, "doc_id", q, "item_id").collect()}
     assert got == {(1, 8), (2, 8), (3, 9), (4, 9)}
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(12)
+    pool = "aZ09 -_.,éÄßİKſ²Ⅷ漢 ​\n'"
+    for _ in range(500):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
+        assert [w.decode() for w in pairs.words_of(t)] == re.findall("[a-z0-9]+", t.lower())
