@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,18 +40,26 @@ def doi_guess(c: Column) -> Column:
 
 def word_hits(c: Column, words: list[str]) -> Column:
     """How often the words occur, without regard to case; each word's occurrences count."""
-    out, low = F.lit(0), F.lower(c)
-    for w in words:
-        # what is missing once all occurrences are taken out
-        out = out + F.coalesce(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int"), F.lit(0))
-    return out
+
+    def hits(low: Column) -> Column:
+        out = F.lit(0)
+        for w in words:
+            # most words do not occur, which a search tells sooner than a count
+            out = out + F.when(low.contains(w), F.regexp_count(low, F.lit(re.escape(w)))).otherwise(0)
+        return out
+
+    return once(F.lower(c), hits)
+
+
+def once(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def rule_class(c: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Class of the first of many rules one of whose words is contained in the lower-cased text, else null."""
-    low = F.lower(c)
     table = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[F.lit(w) for w in ws]).alias("w")) for n, ws in rules])
-    return F.get(F.filter(table, lambda r: F.exists(r["w"], lambda w: low.contains(w))), F.lit(0))["n"]
+    return once(F.lower(c), lambda low: F.get(F.filter(table, lambda r: F.exists(r["w"], lambda w: low.contains(w))), F.lit(0))["n"])
 
 
 def matches(c: Column, pattern: str, groups: int) -> Column:
