@@ -5,11 +5,17 @@ The n-gram sets are ordered globally, rarest first, and their prefixes are store
 compared; the remaining-length bound prunes by depth and size, and a parity bitmap of each set bounds the symmetric
 difference before anything is verified. Only classes of equal sets take part, and every surviving pair is verified on
 the full sets.
+
+No set is stored: what is kept are signatures and the prefixes, and the texts are cut into n-grams again where a step needs
+them. The postings are shuffled in rounds, a part of the n-grams each, whose files are deleted before the next one.
 """
 
 from __future__ import annotations
 
+import zlib
 from fractions import Fraction
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +31,12 @@ _SEPARATED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32
 SKETCH_BITS = 22
 #: Rows of one posting list handled together; longer lists are split into blocks of this size.
 BLOCK = 2048
-_MASK = (1 << 64) - 1
+#: Postings shuffled in one round: so many, or so many for each set if that is more.
+ROUND, ROUND_PER_SET = 4_000_000, 5
+#: Bits of the wide bitmap of a set, which is looked up once for each pair and not carried by the postings.
+WIDE = 512
+#: Bits of the filter that stands for ids too many to be broadcast, so 4 MB whatever their number.
+FILTER_BITS = 25
 
 
 def words_of(text: str) -> list[bytes]:
@@ -42,73 +53,92 @@ def word_hashes(words: list, cache: dict) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(text: str, size: int, cache: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of the word ``size``-grams of a text (words: runs of a-z and 0-9 after lower-casing)."""
-    h = word_hashes(words_of(text), cache)
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
+def shingle_rows(texts: list[str], size: int, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, n): the sorted distinct hashes of the word ``size``-grams of each text, one text after the other, and how many
+    each has (words: runs of a-z and 0-9 after lower-casing)."""
+    words = [words_of(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    h = word_hashes(list(chain.from_iterable(words)), cache)
+    if len(cache) > 1_000_000:
+        cache.clear()
+    many = max(len(h) - size + 1, 0)
+    g = np.zeros(many, np.uint64)
     with np.errstate(over="ignore"):
-        g = np.zeros(n, np.uint64)
         for i in range(size):
-            g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+            g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + many]
         g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(g.view(np.int64))
+    whole = row[:many] == row[size - 1 :] if many else np.zeros(0, bool)
+    g, row = g.view(np.int64)[whole], row[:many][whole]
+    end = np.cumsum(np.bincount(row, minlength=len(texts))).tolist()
+    for lo, hi in zip([0, *end], end, strict=False):
+        g[lo:hi].sort()
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    return g[new], np.bincount(row[new], minlength=len(texts))
+
+
+def parity_bitmaps(g: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per set 256 bits, each the parity of how many elements fall on it; equal elements of two sets cancel in their xor."""
+    return _parities(g & 255, n, 256).view(np.int64)
+
+
+def _parities(at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    odd = np.bincount(np.repeat(np.arange(len(n)) * width, n) + at, minlength=len(n) * width) & 1
+    return np.packbits(odd.astype(np.uint8)).reshape(-1, width // 8)
 
 
 def parity_bitmap(g: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of how many elements fall on it; equal elements of two sets cancel in their xor."""
-    out = np.zeros(256, np.uint8)
-    np.bitwise_xor.at(out, (g & 255).astype(np.intp), 1)
-    return np.packbits(out).view(np.int64)
+    return parity_bitmaps(g, np.array([len(g)]))[0]
+
 
+def long_enough(df: DataFrame, least: int) -> DataFrame:
+    """Distinct word n-grams need at least as many words, so shorter texts cannot qualify."""
+    return df.where(F.length("t") >= 2 * least)
 
-def shingle_sets(df: DataFrame, size: int, least: int) -> DataFrame:
-    """(tb, id, n, sig, grams, b0..b3) of every text of (tb, id, t) with at least ``least`` distinct n-grams."""
 
-    def sets(batches):
+def described_sets(df: DataFrame, size: int, least: int) -> DataFrame:
+    """Two kinds of rows: (tb, id, sig) of every text of (tb, id, t) with at least ``least`` distinct n-grams, and (chunk,
+    counts), packed parts of the counters of their n-grams, a set for each task."""
+
+    def describe(batches):
         import xxhash
 
         cache: dict[bytes, int] = {}
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        names, seen = ["tb", "id", "sig", "chunk", "counts"], False
         for b in batches:
-            keep, n, sig, grams, bits = [], [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                g = shingle_set(t, size, cache)
-                if len(g) >= least:
-                    keep.append(i), n.append(len(g)), grams.append(g), bits.append(parity_bitmap(g))
-                    sig.append(xxhash.xxh128_hexdigest(g.tobytes()))
-            if len(cache) > 1_000_000:
-                cache.clear()
-            bits = np.array(bits, np.int64).reshape(-1, 4)
-            off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32())), pa.array(n, pa.int32()), pa.array(sig, pa.string()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), *(pa.array(bits[:, i]) for i in range(4))],
-                names=["tb", "id", "n", "sig", "grams", "b0", "b1", "b2", "b3"],
-            )
-
-    # distinct word n-grams need at least as many words, so shorter texts cannot qualify
-    return df.where(F.length("t") >= 2 * least).mapInArrow(sets, "tb int, id long, n int, sig string, grams array<long>, b0 long, b1 long, b2 long, b3 long")
-
-
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
+            g, n = shingle_rows(b.column(2).to_pylist(), size, cache)
+            keep = n >= least
+            end = np.cumsum(n)
+            sig = [xxhash.xxh128_digest(g[e - k : e].tobytes()) for e, k in zip(end[keep].tolist(), n[keep].tolist(), strict=True)]
+            at, many = np.unique(g[np.repeat(keep, n)] & (len(total) - 1), return_counts=True)
+            total[at] += many.astype(np.uint32)
+            seen = seen or bool(sig)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), pa.array(sig, pa.binary()), pa.nulls(len(sig), pa.int32()), pa.nulls(len(sig), pa.binary())], names=names)
+        if seen:
+            parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, 1 << 14)]
+            k = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return long_enough(df, least).mapInArrow(describe, "tb int, id long, sig binary, chunk int, counts binary")
+
+
+def frequency_sketch(described: DataFrame) -> np.ndarray:
     """One byte per counter: the rounded logarithm of how many n-grams of all sets fall on it (0 none, 1 exactly one)."""
-    size = 1 << SKETCH_BITS
 
-    def count(batches):
-        total = None
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            c = np.bincount(flat & (size - 1), minlength=size)
-            total = c if total is None else total + c
-        if total is not None:
-            at = np.flatnonzero(total)
-            for lo in range(0, len(at), 100_000):
-                part = at[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "c"])
-
-    counts = sets.select("grams").mapInArrow(count, "at int, c long").groupBy("at").agg(F.sum("c").alias("c"))
-    return packed_sketch(counts, SKETCH_BITS)
+            for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+        codes = [np.where(c > 1, np.minimum(255, 1 + np.ceil(np.log2(np.maximum(c, 1)) * 8)), c).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(codes, pa.binary())], names=["chunk", "codes"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in described.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(add, "chunk int, codes binary").toLocalIterator():
+        out[r["chunk"] << 14 : (r["chunk"] + 1) << 14] = np.frombuffer(r["codes"], np.uint8)
+    return out
 
 
 def packed_sketch(counts: DataFrame, bits: int) -> np.ndarray:
@@ -135,53 +165,82 @@ def packed_sketch(counts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _postings(reps: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
-    """(g, id, size, place, b0..b3) of each n-gram in the part of a set that a partner must reach.
+def _blocks(codes: np.ndarray) -> np.ndarray:
+    """Into how many blocks a posting list is split, told by the sketch's upper bound of its length."""
+    return np.ceil(np.exp2((codes.astype(float) - 1) / 8) / BLOCK).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, size: int, least: int, sketch, t: Fraction) -> DataFrame:
+    """(tb, id, n, first, posts, grams, b0..b3, wide) of the sets of at least ``least`` n-grams of (tb, id, t): the low halves of the n-grams in the part of a
+    set that a partner must reach, rarest first from depth ``first`` on, and how many postings they make.
+
+    Half a hash may stand for several n-grams; that only adds candidates.
+    """
+
+    def shorten(batches):
+        codes, cache = sketch.value, {}
+        for b in batches:
+            g, n = shingle_rows(b.column(2).to_pylist(), size, cache)
+            bits, wide = parity_bitmaps(g, n), _parities(g >> 40 & WIDE - 1, n, WIDE)
+            c = codes[g & (len(codes) - 1)]
+            row = np.repeat(np.arange(len(n)), n)
+            first = np.bincount(row[c == 1], minlength=len(n))  # n-grams of one set only have no partner
+            key = c.astype(np.uint64) << np.uint64(56) | g.view(np.uint64) & np.uint64((1 << 56) - 1)
+            end = np.cumsum(n)
+            for lo, hi in zip((end - n).tolist(), end.tolist(), strict=True):
+                key[lo:hi].sort()
+            p = np.where(n > 0, n + t.numerator * -n // t.denominator + 1, 0)
+            many = np.where(n >= least, np.maximum(p - first, 0), 0)
+            keep = many > 0
+            stop = np.cumsum(many)
+            at = np.arange(int(many.sum())) + np.repeat(end - n + first - (stop - many), many)
+            blocks = _blocks((key[at] >> np.uint64(56)).astype(np.uint8))
+            posts = np.bincount(np.repeat(np.arange(len(n)), many), weights=blocks, minlength=len(n)).astype(np.int64)
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop[keep]]).astype(np.int32)), pa.array((key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).filter(mask), b.column(1).filter(mask), pa.array(n[keep].astype(np.int32)), pa.array(first[keep].astype(np.int32)), pa.array(posts[keep]), grams, *(pa.array(bits[keep, j]) for j in range(4)), pa.array([x.tobytes() for x in wide[keep]], pa.binary())],
+                names=["tb", "id", "n", "first", "posts", "grams", "b0", "b1", "b2", "b3", "wide"],
+            )
+
+    return texts.select("tb", "id", "t").mapInArrow(shorten, "tb int, id long, n int, first int, posts long, grams array<int>, b0 long, b1 long, b2 long, b3 long, wide binary")
+
+
+def _postings(heads: DataFrame, sketch, part: int, parts: int) -> DataFrame:
+    """(g, id, size, place, b0..b3) of each n-gram of one of the ``parts`` of all n-grams in the prefixes of sets.
 
     ``g`` mixes table, n-gram and pair of blocks, ``size`` holds the set's size and the n-gram's depth, ``place`` the table
     and the set's own block (0: the list is not split), so that a posting is eight numbers and sorts by two of them.
     """
-    shared = reps.sparkSession.sparkContext.broadcast(sketch)
 
     def post(batches):
-        codes = shared.value
+        codes = sketch.value
         for b in batches:
-            gram, ids, size, place, bits = [], [], [], [], []
-            off = b.column(3).offsets.to_numpy()
-            flat = b.column(3).values.to_numpy()
-            rid, tb = b.column(1).to_numpy(), b.column(0).to_numpy().astype(np.int64)
-            bm = np.stack([b.column(4 + i).to_numpy() for i in range(4)], axis=1)
-            for i in range(b.num_rows):
-                g = flat[off[i] : off[i + 1]]
-                c = codes[g & (len(codes) - 1)]
-                order = np.lexsort((g, c))
-                p = len(g) + t.numerator * -len(g) // t.denominator + 1
-                first = int((c == 1).sum())  # n-grams of one set only have no partner
-                use = np.arange(first, p)
-                if not len(use):
-                    continue
-                gg, cc = g[order[use]], c[order[use]]
-                # the sketch's upper bound of a list's length tells into how many blocks it is split
-                blocks = np.ceil(np.exp2((cc.astype(float) - 1) / 8) / BLOCK).astype(np.int64)
-                pair = np.zeros(len(use), np.int64)
-                own = np.zeros(len(use), np.int64)
-                if (blocks > 1).any():
-                    mine = (int(rid[i]) * 0x9E3779B97F4A7C15 & _MASK) >> 20
-                    at = np.repeat(np.arange(len(use)), blocks)
-                    other = np.concatenate([np.arange(x) for x in blocks])
-                    mine = mine % np.repeat(blocks, blocks)
-                    use, gg = use[at], gg[at]
-                    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                    pair, own = lo << 24 | hi, np.where(hi > lo, mine + 1, 0)
+            off = b.column(4).offsets.to_numpy().astype(np.int64)
+            flat = b.column(4).values.to_numpy()[off[0] : off[-1]].astype(np.int64) & 0xFFFFFFFF
+            many = np.diff(off)
+            row = np.repeat(np.arange(b.num_rows), many)
+            use = np.arange(len(flat)) - np.repeat(off[:-1] - off[0], many) + b.column(3).to_numpy().astype(np.int64)[row]
+            mine = ((flat * 0x9E3779B1 & 0xFFFFFFFF) >> 12) % parts == part
+            flat, row, use = flat[mine], row[mine], use[mine]
+            tb, rid, n = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+            blocks = _blocks(codes[flat & (len(codes) - 1)])
+            pair, own = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+            if (blocks > 1).any():
+                at = np.repeat(np.arange(len(flat)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                flat, row, use, blocks = flat[at], row[at], use[at], blocks[at]
                 with np.errstate(over="ignore"):
-                    mixed = (gg ^ pair * np.int64(0x2545F4914F6CDD1D) ^ tb[i] * np.int64(0x5851F42D4C957F2D)) * np.int64(-7046029254386353131)
-                gram.append(mixed ^ mixed >> np.int64(29)), size.append(len(g) << 32 | use), place.append(tb[i] << 32 | own)
-                ids.append(np.full(len(use), rid[i])), bits.append(np.broadcast_to(bm[i], (len(use), 4)))
-            if gram:
-                bits, cat = np.concatenate(bits), np.concatenate
-                yield pa.RecordBatch.from_arrays([*(pa.array(cat(x)) for x in (gram, ids, size, place)), *(pa.array(bits[:, j].copy()) for j in range(4))], names=["g", "id", "size", "place", "b0", "b1", "b2", "b3"])
+                    block = ((rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)[row] % blocks
+                lo, hi = np.minimum(block, other), np.maximum(block, other)
+                pair, own = lo << 24 | hi, np.where(hi > lo, block + 1, 0)
+            with np.errstate(over="ignore"):
+                mixed = (flat ^ pair * np.int64(0x2545F4914F6CDD1D) ^ tb[row] * np.int64(0x5851F42D4C957F2D)) * np.int64(-7046029254386353131)
+            g = (mixed ^ mixed >> np.int64(29)).astype(np.uint64).astype(np.uint32).view(np.int32)
+            bits = [b.column(5 + j).to_numpy()[row] for j in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, rid[row], n[row] << 32 | use, tb[row] << 32 | own, *bits)], names=["g", "id", "size", "place", "b0", "b1", "b2", "b3"])
 
-    return reps.select("tb", "id", "n", "grams", "b0", "b1", "b2", "b3").mapInArrow(post, "g long, id long, size long, place long, b0 long, b1 long, b2 long, b3 long")
+    return heads.select("tb", "id", "n", "first", "grams", "b0", "b1", "b2", "b3").mapInArrow(post, "g int, id long, size long, place long, b0 long, b1 long, b2 long, b3 long")
 
 
 def _pairs_of_runs(f: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, t: Fraction, most: int = 1_500_000):
@@ -221,10 +280,8 @@ def _pairs_of_runs(f: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
                 yield tb[a], np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
-def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
-    """Distinct (tb, a, b), a < b, of sets (tb, id, n, grams, b0..b3) that may reach Jaccard similarity ``t``; none that does
-    is missing."""
-    postings = _postings(reps, frequency_sketch(reps), t)
+def _met(postings: DataFrame, t: Fraction) -> DataFrame:
+    """Distinct (tb, a, b), a < b, of the sets that meet in a posting list and pass the bounds."""
     names = ["g", "id", "size", "place"]
 
     def join(batches):
@@ -255,13 +312,103 @@ def _emit(f: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, t: Fra
         yield pa.RecordBatch.from_pandas(d, preserve_index=False)
 
 
+def candidate_pairs(texts: DataFrame, size: int, least: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
+    """Distinct (tb, a, b), a < b, of the texts (tb, id, t) whose sets of at least ``least`` n-grams may reach Jaccard
+    similarity ``t``; none that does is missing. ``sketch`` counts the n-grams of these texts at least."""
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    heads = cut(prefixes(texts, size, least, shared, t), drop=True)
+    sets, posts = heads.agg(F.count(F.lit(1)), F.sum("posts")).first()
+    parts = max(1, -(-(posts or 0) // max(ROUND, ROUND_PER_SET * sets)))
+    found = [cut(_met(_postings(heads, shared, i, parts), t), drop=True) for i in range(parts)]
+    met = cut(reduce(DataFrame.union, found).distinct(), drop=True)
+    of = heads.select("tb", "id", "n", "wide").dropDuplicates(["tb", "id"])
+    left, right = (of.select("tb", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in ("a", "b"))
+
+    def near(batches):
+        for x in batches:
+            na, nb = (x.column(i).to_numpy().astype(np.int64) for i in (3, 4))
+            wa, wb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for i in (5, 6))
+            need = -(-t.numerator * (na + nb) // (t.numerator + t.denominator))
+            ok = np.bitwise_count(wa ^ wb).sum(axis=1) <= na + nb - 2 * need
+            yield x.filter(pa.array(ok)).select(["tb", "a", "b"])
+
+    both = met.join(left, ["tb", "a"]).join(right, ["tb", "b"])
+    return both.select("tb", "a", "b", "na", "nb", "wa", "wb").mapInArrow(near, "tb int, a long, b long")
+
+
+def verified_pairs(cand: DataFrame, texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """(tb, a, b, jaccard) of the pairs of ``cand`` whose texts (tb, id, t; one for an id) reach similarity ``t``."""
+    left, right = (texts.select("tb", F.col("id").alias(c), F.col("t").alias(f"text_{c}")) for c in ("a", "b"))
+
+    def verify(batches):
+        cache: dict[bytes, int] = {}
+        for x in batches:
+            (ga, na), (gb, nb) = (shingle_rows(x.column(i).to_pylist(), size, cache) for i in (3, 4))
+            row = np.concatenate([np.repeat(np.arange(len(k)), k) for k in (na, nb)])
+            g = np.concatenate([ga, gb])
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            common = np.bincount(row[1:][(g[1:] == g[:-1]) & (row[1:] == row[:-1])], minlength=len(na))
+            union = na + nb - common
+            ok = (common * t.denominator >= union * t.numerator) & (union > 0)
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([*(x.column(i).filter(mask) for i in range(3)), pa.array(common[ok] / union[ok])], names=["tb", "a", "b", "jaccard"])
+
+    both = cand.join(left, ["tb", "a"]).join(right, ["tb", "b"])
+    return both.select("tb", "a", "b", "text_a", "text_b").mapInArrow(verify, "tb int, a long, b long, jaccard double")
+
+
 #: Rows (table, id) that may be broadcast: some 24 bytes each.
 MOST_ROWS = 300_000
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, whose rows are a table number and an id, to be broadcast if they are ``MOST_ROWS`` at most; else to be shuffled."""
-    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
+def _places(tb: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each (table, id) in the filter."""
+    with np.errstate(over="ignore"):
+        x = (ids.astype(np.int64).view(np.uint64) ^ tb.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ x >> np.uint64(29)
+    most = np.uint64((1 << FILTER_BITS) - 1)
+    return (x & most).astype(np.int64), (x >> np.uint64(32) & most).astype(np.int64)
+
+
+def _filtered(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (tb, id, t) in two parts: those that may be in ``ids`` (tb, id), all of these among them, and those that are not."""
+
+    def places(batches):
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(), b.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int32))], names=["at"])
+
+    at = ids.select("tb", "id").mapInArrow(places, "at int").distinct().withColumn("c", F.lit(1))
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(packed_sketch(at, FILTER_BITS)))
+
+    def part(inside: bool):
+        def look(batches):
+            for b in batches:
+                known = np.ones(b.num_rows, bool)
+                for at in _places(b.column(0).to_numpy(), b.column(1).to_numpy()):
+                    known &= (bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+                yield b.filter(pa.array(known == inside))
+
+        return rows.mapInArrow(look, "tb int, id long, t string")
+
+    return part(True), part(False)
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (tb, id, t) not in ``ids`` (tb, id); of the texts only those that may be in ``ids`` are ever shuffled."""
+    if ids.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        return rows.join(F.broadcast(ids), ["tb", "id"], "left_anti")
+    doubtful, sure = _filtered(rows, ids)
+    return sure.union(doubtful.join(ids, ["tb", "id"], "left_anti").select("tb", "id", "t"))
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (tb, id, t) in ``ids`` (tb, id) and, if these are many, a few others."""
+    if ids.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        return rows.join(F.broadcast(ids), ["tb", "id"], "left_semi")
+    return _filtered(rows, ids)[0]
 
 
 def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -282,23 +429,20 @@ def similar_classes(df: DataFrame, size: int = 5, threshold: float = 0.8, least:
     number = F.lit(None).cast("int")
     for i, name in enumerate(names):
         number = F.when(F.col("tbl") == name, i).otherwise(number)
-    sets = cut(shingle_sets(src.select(number.alias("tb"), "id", "t"), size, least))
+    texts = long_enough(src.select(number.alias("tb"), F.col("id").cast("long").alias("id"), "t"), least)
+    described = cut(described_sets(texts, size, least))
+    sets = described.where("chunk is null").select("tb", "id", "sig")
     # rows of one signature hold the same set; its smallest id stands for it, and only ids and signatures are shuffled
     classes = sets.groupBy("tb", "sig").agg(F.min("id").alias("rep"))
-    members = cut(sets.select("tb", "sig", "id").join(classes, ["tb", "sig"]).select("tb", "id", "rep").distinct())
+    members = cut(sets.join(classes, ["tb", "sig"]).select("tb", "id", "rep").distinct(), drop=True)
     others = cut(members.where("id <> rep").select("tb", "id"))
-    reps = sets.select("tb", "id", "n", "grams", "b0", "b1", "b2", "b3").join(_bounded(others), ["tb", "id"], "left_anti")
-    cand = cut(candidate_pairs(reps, t))
-    used = cut(cand.select("tb", F.explode(F.array("a", "b")).alias("id")).distinct())
-    slim = reps.select("tb", "id", "grams").join(_bounded(used), ["tb", "id"], "left_semi").dropDuplicates(["tb", "id"])
-    pairs = cand.join(slim.select("tb", F.col("id").alias("a"), F.col("grams").alias("ga")), ["tb", "a"]).join(slim.select("tb", F.col("id").alias("b"), F.col("grams").alias("gb")), ["tb", "b"])
-    common = F.size(F.array_intersect("ga", "gb"))
-    pairs = pairs.withColumn("common", common).withColumn("jaccard", F.col("common") / (F.size("ga") + F.size("gb") - F.col("common")))
+    cand = cut(candidate_pairs(_without(texts, others), size, least, frequency_sketch(described), t), drop=True)
+    used = cut(cand.select("tb", F.explode(F.array("a", "b")).alias("id")).distinct(), drop=True)
+    slim = _among(texts, used).dropDuplicates(["tb", "id"])
+    pairs = cut(verified_pairs(cand, slim, size, t), drop=True)
     tbl = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tb") + 1) if names else F.lit(None).cast("string")
     members = members.select(tbl.alias("tbl"), "id", "rep")
-    union = F.size("ga").cast("long") + F.size("gb") - F.col("common")
-    links = pairs.where(F.col("common").cast("long") * t.denominator >= union * t.numerator).select(tbl.alias("tbl"), "a", "b", "jaccard")
-    return members, links
+    return members, pairs.select(tbl.alias("tbl"), "a", "b", "jaccard")
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, rows_per_task: int = 2000) -> DataFrame:

@@ -66,11 +66,23 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ship(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Deletes the shuffle files of a query once it has run; where Spark does not know it, they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, drop: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; ``drop`` deletes the shuffle files behind it at once."""
+    spark = df.sparkSession
+    ship(spark)
+    shared_dir(spark)
+    if not drop:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -85,6 +85,55 @@ def test_similarity_join_with_one_hot_group(spark, monkeypatch):
     assert {(r["id_a"], r["id_b"]) for r in got} == brute(texts, 3, 0.6, 20)
 
 
+def near_copies(rng, n, words):
+    """Texts in pairs that differ in one word, and a few exact copies."""
+    texts = {}
+    for k in range(0, n, 2):
+        w = prose(rng, words).split()
+        texts[k] = " ".join(w)
+        w[rng.randrange(words)] = f"edit{k}"
+        texts[k + 1] = " ".join(w) if k % 10 else texts[k]
+    return texts
+
+
+def test_similarity_join_keeps_less_than_its_sets(spark):
+    import os
+
+    texts = near_copies(random.Random(8), 1200, 300)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    kept = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    df = spark.createDataFrame([("x", k, v) for k, v in texts.items()], "tbl string, id long, t string").repartition(2)
+    before = kept()
+    got = pairs.expand_pairs(*pairs.similar_classes(df, 3, 0.6, 20)).count()
+    assert got == 600 and kept() - before < 6 * 298 * 1200  # three quarters of what the n-grams of the sets take
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_similarity_join_in_rounds_with_ids_not_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(pairs, "ROUND", 500)
+    monkeypatch.setattr(pairs, "MOST_ROWS", most)
+    texts = near_copies(random.Random(9), 60, 40)
+    df = spark.createDataFrame([("x", k, v) for k, v in texts.items()] + [("y", 5, texts[0]), ("y", -6, texts[1])], "tbl string, id long, t string")
+    got = {(r["tbl"], r["id_a"], r["id_b"]) for r in pairs.expand_pairs(*pairs.similar_classes(df, 3, 0.6, 20)).collect()}
+    assert got == {("x", a, b) for a, b in brute(texts, 3, 0.6, 20)} | {("y", -6, 5)}
+
+
+def test_cut_drops_its_shuffle_files(spark):
+    import time
+
+    from lodestone.session import cut
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").count("shuffle_")
+    before = files()
+    got = cut(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), drop=True)
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and got.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def test_similarity_join_empty(spark):
     df = spark.createDataFrame([], "tbl string, id long, t string")
     assert pairs.expand_pairs(*pairs.similar_classes(df)).count() == 0
