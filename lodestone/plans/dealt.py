@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,16 @@ def _localised(stamps: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stamp without zone takes the estimated history of its site; where that differs from the zone the rule names
-    (site_zone, or UTC without one), the rule holds."""
+    """A stamp without zone is local at the zone that its site names, or UTC if the site names none. Where the site's name
+    is none of the tz database, the rule names no zone; there the estimated history of the site decides, and UTC without one."""
     stamps = _instants(spark, sf_dir)
-    w = _localised(stamps, _estimates(stamps))
-    checked = F.when(F.col("estimated") == F.col("utc_micros"), F.col("estimated")).otherwise(F.col("utc_micros"))
-    return w.select("paper_id", "field_name", checked.alias("utc_micros")).distinct()
+    unknown = F.col("site_zone").isNotNull() & ~F.col("site_zone").isin(sorted(available_timezones()))
+    odd = stamps.where(unknown)
+    found = stamps.where(~unknown).select("paper_id", "field_name", "utc_micros")
+    if not odd.isEmpty():
+        w = _localised(odd, _estimates(odd))
+        found = found.unionByName(w.select("paper_id", "field_name", F.coalesce("estimated", "utc_micros").alias("utc_micros")))
+    return found.distinct()
 
 
 def p1_zone_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:

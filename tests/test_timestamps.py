@@ -123,3 +123,23 @@ def test_stamps_of_no_history_are_for_review(spark):
     df = spark.createDataFrame(rows, "s string, l long, r long")
     assert {r["decision"] for r in estimate_zones(df, "s", "l", "r").collect()} == {"review"}
     assert estimate_zones(df.limit(0), "s", "l", "r").count() == 0
+
+
+def test_the_estimate_decides_where_the_site_names_no_zone(spark, tmp_path):
+    from lodestone.plans.dealt import p1_found
+
+    first, rows, want = 1_500_000_000, [], {}
+    for k in range(400):
+        at = first + k * 90_000
+        text = datetime.fromtimestamp(at, ZoneInfo("Asia/Tokyo")).strftime("%Y-%m-%d %H:%M:%S")
+        upload = datetime.fromtimestamp(at + 60, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        for n, site in enumerate(("Plant 7", None, "Europe/Berlin")):
+            rows.append((3 * k + n, None, text, upload, site))
+            # a rule that names a zone holds, whatever the uploads say
+            zone = ("Asia/Tokyo", "UTC", "Europe/Berlin")[n]
+            want[3 * k + n, "mod_date"] = int(datetime.strptime(text, "%Y-%m-%d %H:%M:%S").replace(tzinfo=ZoneInfo(zone)).timestamp() * 1e6)
+            want[3 * k + n, "upload_time"] = (at + 60) * 1_000_000
+    rows.append((9000, None, "2019-05-05 05:05:05", None, "Plant 8"))  # too little to tell
+    want[9000, "mod_date"] = micros(2019, 5, 5, 5, 5, 5)
+    spark.createDataFrame(rows, "paper_id long, creation_date string, mod_date string, upload_time string, site_zone string").write.parquet(str(tmp_path / "papers.parquet"))
+    assert {(r["paper_id"], r["field_name"]): r["utc_micros"] for r in p1_found(spark, str(tmp_path)).collect()} == want
